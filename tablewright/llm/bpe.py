@@ -11,6 +11,7 @@ The library of the vocabulary file splits texts into pieces; merging happens her
 
 from __future__ import annotations
 
+import base64
 import gc
 import json
 import re
@@ -20,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import split_words
+
 #: What either Unicode's or Python's rules call white space.
 SPACE = "\t-\r\x1c-\x20\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: Between these two characters every pattern for words has a border.
@@ -195,12 +198,20 @@ class Words:
     """Encodings of the words of whole batches: each distinct word is cut and merged once and kept for later batches.
 
     spaced: the vocabulary keeps spaces, as the first letter of the word they stand before.
+    ranks: the same vocabulary as a file of ranks; then its library merges plain words, in place of the walk.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str | None = None):
         from tokenizers import Tokenizer
 
         self.path = path
+        self.ranked = None
+        if ranks:
+            import tiktoken
+
+            with open(ranks, "rb") as f:
+                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.ranked = tiktoken.Encoding("ranked", pat_str=r" ?\p{L}+| ?[^\s\p{L}\p{N}]+", mergeable_ranks=table, special_tokens={})
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -233,7 +244,20 @@ class Words:
 
     def add(self, words) -> None:
         """Encode the words that are new."""
-        new = {w: self.pieces(w) for w in words if w not in self.code}
+        new: dict[str, list] = {}
+        if self.ranked is not None:
+            encode = self.ranked.encode_ordinary
+            for w in words:
+                if w not in self.code:
+                    if PLAIN.fullmatch(w):
+                        self.code[w] = len(self.start)
+                        self.start.append(len(self.ids))
+                        self.ids.extend(ids := encode(w))
+                        self.length.append(len(ids))
+                    else:
+                        new[w] = self.pieces(w)
+        else:
+            new = {w: self.pieces(w) for w in words if w not in self.code}
         if not new:
             return
         gc.disable()  # hundreds of thousands of lists live until the end of this call
@@ -257,11 +281,8 @@ class Words:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if self.spaced:
             return self._spaced(texts)
-        lists = pc.ascii_split_whitespace(texts)
-        flat, offsets = pc.list_flatten(lists), _offsets(lists)
-        full = np.asarray(pc.greater(pc.binary_length(flat), 0))  # a text's edges can give empty words
-        kept = np.concatenate([[0], np.cumsum(full)])[offsets]
-        return self._looked_up(flat.filter(pa.array(full))), kept
+        flat, ends = split_words(texts)
+        return self._looked_up(flat), ends
 
     def _looked_up(self, flat: pa.Array, prefix: str = "") -> np.ndarray:
         coded = flat.dictionary_encode()
@@ -315,14 +336,14 @@ def _offsets(lists: pa.Array) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists)), dtype=np.int64)])
 
 
-_loaded: dict[str, Words] = {}
+_loaded: dict[tuple, Words] = {}
 
 
-def words_of(path: str) -> Words:
+def words_of(path: str, ranks: str | None = None) -> Words:
     """One store for each vocabulary and worker."""
-    if path not in _loaded:
-        _loaded[path] = Words(path)
-    return _loaded[path]
+    if (path, ranks) not in _loaded:
+        _loaded[path, ranks] = Words(path, ranks)
+    return _loaded[path, ranks]
 
 
 def decode_table(path: str) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import itertools
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,3 +85,30 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
                 yield out
 
     return df.mapInArrow(run, schema)
+
+
+def letters_only(keep_digits: bool = True) -> bytes:
+    """A byte table: A-Z to a-z; bytes of other scripts stay; all else to a space."""
+    digits = range(0x30, 0x3A) if keep_digits else ()
+    return bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 or b in digits else 0x20 for b in range(256))
+
+
+#: A byte table that only lowers A-Z.
+LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+
+
+def mapped(texts: pa.Array, bytes_to: bytes) -> pa.Array:
+    """The texts with each byte replaced by the table's, all at once; nulls become empty."""
+    texts = pa.compute.fill_null(texts.cast(pa.large_string()), "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = (texts.buffers()[2] or pa.py_buffer(b"")).slice(int(offsets[0]), int(offsets[-1] - offsets[0])) if len(texts) else pa.py_buffer(b"")
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer((offsets - offsets[0] if len(texts) else np.zeros(1, np.int64)).tobytes()), pa.py_buffer(data.to_pybytes().translate(bytes_to)))
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words between ASCII white space, and where each text's words begin (one more than texts)."""
+    lists = pa.compute.ascii_split_whitespace(texts)
+    flat = pa.compute.list_flatten(lists)
+    ends = np.concatenate([[0], np.cumsum(np.asarray(pa.compute.list_value_length(lists)), dtype=np.int64)])
+    full = np.asarray(pa.compute.greater(pa.compute.binary_length(flat), 0))  # a text's edges can give empty words
+    return flat.filter(pa.array(full)), np.concatenate([[0], np.cumsum(full)])[ends]
