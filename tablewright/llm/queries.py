@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, decontaminate, huffman, licenses, secrets, token_counts, topk, toxicity
+from . import bpe_codec, decontaminate, huffman, licenses, near_dup, secrets, token_counts, topk, toxicity
 from .common import scratch, table
 
 
@@ -32,6 +32,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_top_k, op4_toxicity, op5_decontaminate, op7_licenses, op8_bpe_codec, op9_token_files, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_top_k, op4_toxicity, op5_decontaminate, op6_jaccard_join, op7_licenses, op8_bpe_codec, op9_token_files, op10_secrets)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -53,7 +53,7 @@ class Settings:
     #: Squared deviations by which a word must be associated with the label.
     least_chi2: float = 20.0
     #: Weights of the squared coefficients and of the squared counterfactual changes.
-    l2: float = 3e-5
+    l2: float = 2e-4
     counterfactual: float = 1.0
     steps: int = 500
 
