@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, decontaminate, huffman, licenses, near_dup, secrets, token_counts, topk, toxicity
+from . import bpe_codec, decontaminate, huffman, licenses, near_dup, secrets, suffix_dedup, token_counts, topk, toxicity
 from .common import scratch, table
 
 
@@ -15,6 +15,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), budget=2048)
 
@@ -54,6 +58,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_top_k, op4_toxicity, op5_decontaminate, op6_jaccard_join, op7_licenses, op8_bpe_codec, op9_token_files, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_top_k, op4_toxicity, op5_decontaminate, op6_jaccard_join, op7_licenses, op8_bpe_codec, op9_token_files, op10_secrets)}
 
 ORACLE_SQL: dict[str, str] = {}
