@@ -112,3 +112,15 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     ends = np.concatenate([[0], np.cumsum(np.asarray(pa.compute.list_value_length(lists)), dtype=np.int64)])
     full = np.asarray(pa.compute.greater(pa.compute.binary_length(flat), 0))  # a text's edges can give empty words
     return flat.filter(pa.array(full)), np.concatenate([[0], np.cumsum(full)])[ends]
+
+
+#: Rows of a key of two numbers that may be sent to every executor, some 50 bytes each.
+BROADCAST_ROWS = 400_000
+
+
+def without(docs: DataFrame, gone: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """The rows of docs whose (id, hash of the text) isn't in `gone` (id, th); that list is sent around only if it is short."""
+    gone = stored(gone.select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else gone
+    rows = docs.withColumn("__h", F.xxhash64(text_of()))
+    return rows.join(gone, F.col(id_column).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left_anti").drop("__h")

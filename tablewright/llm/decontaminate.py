@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, stored, text_of
+from .common import lower_ascii, stored, text_of, without
 
 #: Words are what lies between these characters.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -52,8 +52,8 @@ def windows_of(benchmark: DataFrame, size: int, item_column: str, text_column: s
     return cut.select("item_id", F.xxhash64(F.array_join("words", " ")).alias("wid"), F.size("words").alias("len"), "words").distinct()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_column: str = "doc_id", item_column: str = "item_id", text_column: str = "text") -> DataFrame:
-    """For each row of docs: n_words, n_hit, n_items, items_sha256, contaminated."""
+def find_windows(docs: DataFrame, benchmark: DataFrame, size: int, id_column: str, item_column: str, text_column: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows (id, th, n_words), the windows found in them (id, th, wid, start, end), and all windows (item_id, wid)."""
     spark = docs.sparkSession
     windows = stored(windows_of(benchmark, size, item_column, text_column), "windows")
     # (wid, len, j, sh): the shingles of each window, at their places
@@ -90,6 +90,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_colu
     )
     found = stored(whole.select("id", "th", "wid", "start", (F.col("start") + F.col("len")).alias("end")), "found")
 
+    return seen.filter("p < 0").select("id", "th", "n_words"), found, windows
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_column: str = "doc_id", item_column: str = "item_id", text_column: str = "text") -> DataFrame:
+    """For each row of docs: n_words, n_hit, n_items, items_sha256, contaminated."""
+    marks, found, windows = find_windows(docs, benchmark, size, id_column, item_column, text_column)
     covered = F.aggregate(
         F.array_sort(F.collect_set(F.struct("start", "end"))),
         F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("n")),
@@ -102,7 +108,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_colu
         .groupBy("id", "th").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list(F.coalesce(F.col("item_id").cast("string"), F.lit("")))), ",").alias("items"))
     )
     result = hit.join(listed, [hit["id"].eqNullSafe(listed["id"]), hit["th"] == listed["th"]]).select(hit["id"].alias("rid"), hit["th"].alias("rth"), "n_hit", "n_items", "items")
-    marks = seen.filter("p < 0")
     return marks.join(result, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth")), "left").select(
         F.col("id").alias(id_column),
         F.col("n_words").cast("long").alias("n_words"),
@@ -111,3 +116,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_colu
         F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
+
+
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_column: str = "doc_id", item_column: str = "item_id") -> DataFrame:
+    """The rows in which no window of the benchmark stands, with all their columns."""
+    _, found, _ = find_windows(docs, benchmark, size, id_column, item_column, "text")
+    return without(docs, found.select("id", "th"), id_column)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, map_arrow, mapped, scratch, split_words, steps, stored, text_of
+from .common import BROADCAST_ROWS, LOWER, map_arrow, mapped, split_words, steps, stored, text_of, without
 from .components import components
 
 SPARE = 2
@@ -39,8 +39,6 @@ WEAK = 3
 BITS = 1024
 #: Hashes that one verification holds.
 CHUNK = 2_000_000
-#: Rows of (id, class) that may be sent to every executor, some 40 bytes each.
-BROADCAST_ROWS = 400_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -258,12 +256,30 @@ def true_links(docs: DataFrame, sets: DataFrame, clusters: DataFrame, words: int
     return pairs.repartition("cluster", "a", "b").sortWithinPartitions("cluster", "a", "b").mapInArrow(verify, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id") -> DataFrame:
-    """For each row: n_shingles, and component_id, the smallest id reachable by links of at least percent / 100."""
+def grouped(docs: DataFrame, words: int, percent: int, id_column: str) -> DataFrame:
+    """(id, th, n, root) for each row: its component's class, null for an empty set."""
     sets = stored(sketched(docs, words, percent, id_column), "sets")
     edges = stored(block_edges(sets), "edges")
     links = stored(true_links(docs, sets, components(edges), words, percent, id_column), "links")
-    roots = components(links)
-    rows = sets.select("id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return sets.select("id", "th", "n", "node").join(components(links), "node", "left").select("id", "th", "n", F.coalesce("root", "node").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id") -> DataFrame:
+    """For each row: n_shingles, and component_id, the smallest id reachable by links of at least percent / 100."""
+    rows = grouped(docs, words, percent, id_column)
     named = rows.filter("n > 0").groupBy("root").agg(F.min("id").alias("least"))
     return rows.join(named, "root", "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id") -> DataFrame:
+    """One row of each component, that of the smallest id; rows without any word all stay."""
+    rows = stored(grouped(docs, words, percent, id_column).filter("n > 0"), "groups")
+    kept = rows.groupBy("root").agg(F.min(F.struct("id", "th")).alias("x"), F.count("*").alias("rows")).filter("rows > 1")
+    gone = rows.join(kept, "root").filter(~(F.col("id").eqNullSafe(F.col("x.id")) & (F.col("th") == F.col("x.th"))))
+    left = without(docs, gone, id_column)
+    # a kept row may stand in the table more than once
+    again = rows.groupBy("id", "th").agg(F.count("*").alias("k")).filter("k > 1")
+    if again.isEmpty():
+        return left
+    one = left.withColumn("__h", F.xxhash64(text_of())).join(again.select(F.col("id").alias("__id"), F.col("th").alias("__th")), F.col(id_column).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th"))).drop("__id", "__th").dropDuplicates([id_column, "__h"]).drop("__h")
+    return without(left, again, id_column).unionByName(one)

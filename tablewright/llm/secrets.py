@@ -94,16 +94,35 @@ def scan(docs: DataFrame, ledger: str | None = None, version: str = VERSION, id_
 
     Only one scan may write a ledger at a time.  A scan that fails leaves no part of its rows.
     """
-    spark = docs.sparkSession
-    ledger = ledger or scratch(spark, "ledger")
     rows = docs.select(F.col(id_column), text_of().alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
+    return rows.select(id_column, "blob").join(updated(rows, ledger, version), "blob").drop("blob")
+
+
+def updated(rows: DataFrame, ledger: str | None, version: str) -> DataFrame:
+    """The ledger's findings after it has taken in all (blob, text) of the rows."""
+    ledger = ledger or scratch(rows.sparkSession, "ledger")
     blobs = rows.select("blob", "text")
-    if (known := _seen(docs, ledger, version)) is not None:
+    if (known := _seen(rows, ledger, version)) is not None:
         blobs = blobs.join(known.select("blob"), "blob", "left_anti")
     fresh = find(blobs.groupBy("blob").agg(F.any_value("text").alias("text")))
     fresh.withColumn("rules", F.lit(version)).write.mode("append").partitionBy("rules").parquet(ledger)
-    findings = _seen(docs, ledger, version)
-    return rows.select(id_column, "blob").join(findings, "blob").drop("blob")
+    return _seen(rows, ledger, version)
+
+
+def redact(docs: DataFrame, ledger: str | None = None, version: str = VERSION, mask: str = "[SECRET]") -> DataFrame:
+    """All rows and columns, with every span found in `text` replaced by the mask (overlapping spans by one)."""
+    rows = docs.withColumn("__blob", F.unhex(F.sha2(text_of(), 256)))
+    found = updated(rows.select(F.col("__blob").alias("blob"), text_of().alias("text")), ledger, version).filter("spans != ''")
+    part = lambda x, i: F.element_at(F.split(x, ":"), i).cast("int")
+    spans = F.transform(F.split("spans", ","), lambda x: F.struct(part(x, 2).alias("a"), part(x, 3).alias("z")))  # by start
+    # a span that begins inside an earlier one has no gap before it and adds no mask of its own
+    reach = lambda upto: F.coalesce(F.array_max(F.transform(F.slice("s", 1, upto), lambda x: x["z"])), F.lit(0))
+    gaps = F.transform("s", lambda x, i: F.struct(reach(i).alias("b"), x["a"].alias("a"), (x["a"] >= reach(i)).alias("new")))
+    cut = F.array_join(F.transform(F.filter("g", lambda x: x["new"]), lambda x: F.substring(F.col("__text"), x["b"] + 1, x["a"] - x["b"])), mask)
+    marked = found.select(F.col("blob").alias("__found"), spans.alias("s")).withColumn("g", gaps).withColumn("__end", reach(F.size("s"))).select("__found", "g", "__end")
+    joined = rows.withColumn("__text", text_of()).join(marked, F.col("__blob") == F.col("__found"), "left")
+    text = F.when(F.col("g").isNull(), F.col("text")).otherwise(F.concat(cut, F.lit(mask), F.substring(F.col("__text"), F.col("__end") + 1, F.length("__text"))))
+    return joined.withColumn("text", text).select(*docs.columns)
 
 
 def _seen(docs: DataFrame, ledger: str, version: str) -> DataFrame | None:

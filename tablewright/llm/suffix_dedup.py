@@ -244,10 +244,9 @@ def repeated_starts(docs: DataFrame, length: int, id_column: str) -> DataFrame:
     rows = docs.select(F.col(id_column).alias("id"), text_of().alias("text")).withColumn("th", F.xxhash64("text"))
     long_enough = rows.filter(F.octet_length("text") >= length)
     samples_at = scratch(spark, "samples")
-    sampled(long_enough, length).withColumn("batch", F.pmod(F.xxhash64("id", "th"), F.lit(BATCHES))).write.partitionBy("batch").parquet(samples_at)
-    samples = spark.read.parquet(samples_at)
-    if "batch" not in samples.columns:  # an empty table leaves no folders
-        samples = samples.withColumn("batch", F.lit(0))
+    batched = sampled(long_enough, length).withColumn("batch", F.pmod(F.xxhash64("id", "th"), F.lit(BATCHES)))
+    batched.write.partitionBy("batch").parquet(samples_at)
+    samples = spark.read.schema(batched.schema).parquet(samples_at)
     family, found = SuffixFamily(spark), None
     for i in range(BATCHES):
         twice = family.add(samples.filter(F.col("batch") == i).select("head", "gram", "n"))

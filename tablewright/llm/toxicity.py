@@ -210,3 +210,17 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id") -> DataFrame
 
 def classify(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", label_column: str = "toxic") -> DataFrame:
     return score(docs, fit(docs, labels, settings, id_column, label_column), id_column)
+
+
+def keep_clean(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
+    """The rows whose score is below one half, with all their columns."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, len(b), 1000):
+                part = b.slice(at, 1000)
+                clean = part.filter(pa.array(model.scores(pc.fill_null(part.column(text_column), "")) < 0.5))
+                if len(clean):
+                    yield clean
+
+    return docs.mapInArrow(run, docs.schema)
