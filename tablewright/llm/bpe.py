@@ -27,10 +27,10 @@ from .common import split_words
 SPACE = "\t-\r\x1c-\x20\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: Between these two characters every pattern for words has a border.
 BORDER = re.compile(f"(?<=[^{SPACE}])(?= [^{SPACE}])")
-#: A text that can't be cut at each space.
-UNEVEN = f"(^ )|( $)|( [{SPACE}])|([{SPACE}] )"
-#: A word of letters whose pieces are plain: the word, and the marks after it.
-PLAIN = re.compile("( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,]*)")
+#: A text that can't be cut before each space and each line end.
+UNEVEN = f"(^[ \n])|([ \n]$)|([ \n][{SPACE}])|([{SPACE}][ \n])"
+#: A word of letters whose pieces are plain: a line end, the word, and the marks after it.
+PLAIN = re.compile("(\n)?( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@[-`{-~]*)")
 #: Words kept between batches; beyond that the store starts anew.
 STORE_WORDS = 600_000
 STORE_IDS = 6_000_000
@@ -211,7 +211,7 @@ class Words:
 
             with open(ranks, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.ranked = tiktoken.Encoding("ranked", pat_str=r" ?\p{L}+| ?[^\s\p{L}\p{N}]+", mergeable_ranks=table, special_tokens={})
+            self.ranked = tiktoken.Encoding("ranked", pat_str=r" ?\p{L}+| ?[^\s\p{L}\p{N}]+|\s", mergeable_ranks=table, special_tokens={})
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -221,6 +221,8 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.known_codes = np.zeros(0, np.int64)
         self.code: dict[str, int] = {}
         self.ids = array("i")
         self.start = array("q")
@@ -229,9 +231,9 @@ class Words:
     def pieces(self, word: str) -> list[str | int]:
         """The word's pieces in letters of the vocabulary; a special token as its id."""
         m = PLAIN.fullmatch(word)
-        if m and (self.spaced or word[0] != " "):
-            first = m[1] if self.spaced else m[1].lower()
-            return [as_letters(first), m[2]] if m[2] else [as_letters(first)]
+        if m and (self.spaced or word[0] > " "):
+            first = as_letters(m[2] if self.spaced else m[2].lower())
+            return [LETTERS[10]] * bool(m[1]) + [first] + [m[3]] * bool(m[3])
         out: list[str | int] = []
         for part in self.special.split(word) if self.special else [word]:
             if part in self.merges.special:
@@ -284,20 +286,27 @@ class Words:
         flat, ends = split_words(texts)
         return self._looked_up(flat), ends
 
-    def _looked_up(self, flat: pa.Array, prefix: str = "") -> np.ndarray:
-        coded = flat.dictionary_encode()
-        words = [prefix + w for w in coded.dictionary.to_pylist()]
-        self.add(words)
-        code = self.code
-        table = np.fromiter((code[w] for w in words), np.int64, len(words))
-        return table[np.asarray(coded.indices)] if len(words) else np.zeros(0, np.int64)
+    def _looked_up(self, flat: pa.Array) -> np.ndarray:
+        """Places of words that follow a space or begin with a line end (if the vocabulary keeps spaces; else of words)."""
+        at = pc.index_in(flat, value_set=self.known)
+        if at.null_count:
+            missing = flat.filter(at.is_null())
+            new = missing.unique()
+            words = [w if w[:1] == "\n" else " " + w for w in new.to_pylist()] if self.spaced else new.to_pylist()
+            self.add(words)
+            self.known = pa.concat_arrays([self.known, new])
+            self.known_codes = np.concatenate([self.known_codes, np.fromiter((self.code[w] for w in words), np.int64, len(words))])
+            out = np.asarray(pc.fill_null(at, 0), np.int64)
+            out[np.asarray(at.is_null())] = np.asarray(pc.index_in(missing, value_set=new), np.int64) + (len(self.known) - len(new))
+            at = out
+        return self.known_codes[np.asarray(at, np.int64)] if len(flat) else np.zeros(0, np.int64)
 
     def _spaced(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         uneven = np.asarray(pc.match_substring_regex(texts, UNEVEN))
-        even = texts.filter(pa.array(~uneven))
+        even = pc.replace_substring(texts.filter(pa.array(~uneven)), "\n", " \n")
         lists = pc.split_pattern(even, " ")
         flat, offsets = pc.list_flatten(lists), _offsets(lists)
-        codes = self._looked_up(flat, " ")
+        codes = self._looked_up(flat)
         firsts = offsets[:-1]
         if len(firsts):
             words = flat.take(pa.array(firsts)).to_pylist()
