@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, decontaminate, huffman, licenses, near_dup, secrets, suffix_dedup, token_counts, topk, toxicity
+from . import bpe_codec, decontaminate, huffman, licenses, near_dup, oracle, secrets, suffix_dedup, token_counts, topk, toxicity
 from .common import scratch, table
 
 
@@ -60,4 +60,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_top_k, op4_toxicity, op5_decontaminate, op6_jaccard_join, op7_licenses, op8_bpe_codec, op9_token_files, op10_secrets)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others need a library, a trained model, rules of their own, or too many strings for SQL.
+ORACLE_SQL: dict[str, str] = {"op3_top_k": oracle.TOP_K, "op5_decontaminate": oracle.DECONTAMINATE, "op6_jaccard_join": oracle.JACCARD, "op10_secrets": oracle.SECRETS}
