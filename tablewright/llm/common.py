@@ -118,9 +118,13 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 BROADCAST_ROWS = 400_000
 
 
+def wrapped(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """(id, th, row): the rows as structs, so that their own columns can have any names; th: a hash of the text."""
+    return docs.select(F.col(id_column).alias("id"), F.xxhash64(text_of()).alias("th"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def without(docs: DataFrame, gone: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """The rows of docs whose (id, hash of the text) isn't in `gone` (id, th); that list is sent around only if it is short."""
-    gone = stored(gone.select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct(), "gone")
+    gone = stored(gone.select(F.col("id").alias("gone_id"), F.col("th").alias("gone_th")).distinct(), "gone")
     gone = F.broadcast(gone) if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else gone
-    rows = docs.withColumn("__h", F.xxhash64(text_of()))
-    return rows.join(gone, F.col(id_column).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left_anti").drop("__h")
+    return wrapped(docs, id_column).join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("th") == F.col("gone_th")), "left_anti").select("row.*")

@@ -16,9 +16,9 @@ larger than CHUNK members' hashes are verified in pairs of chunks, so that no ta
 a chunk pair gives a forest of links, never all pairs.
 
 Shingles and classes are 64-bit hashes.  A null or empty text, or one without words, has an empty set
-and is linked with nothing.  Rows with equal ids but different texts are classes of their own.  A row with
-a null id is linked like others; its component has the smallest id that is not null, or null.  Repeated rows give repeated results, an empty table an empty one.  Other columns are
-never read.
+and is linked with nothing.  Rows with equal ids but different texts are classes of their own.  A row
+with a null id is linked like others; its component has the smallest id that is not null, or null.
+Repeated rows give repeated results, an empty table an empty one.  Other columns are never read.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, LOWER, map_arrow, mapped, split_words, steps, stored, text_of, without
+from .common import BROADCAST_ROWS, LOWER, map_arrow, mapped, split_words, steps, stored, text_of, without, wrapped
 from .components import components
 
 SPARE = 2
@@ -278,8 +278,8 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str
     gone = rows.join(kept, "root").filter(~(F.col("id").eqNullSafe(F.col("x.id")) & (F.col("th") == F.col("x.th"))))
     left = without(docs, gone, id_column)
     # a kept row may stand in the table more than once
-    again = rows.groupBy("id", "th").agg(F.count("*").alias("k")).filter("k > 1")
+    again = rows.groupBy(F.col("id").alias("again_id"), F.col("th").alias("again_th")).agg(F.count("*").alias("k")).filter("k > 1").drop("k")
     if again.isEmpty():
         return left
-    one = left.withColumn("__h", F.xxhash64(text_of())).join(again.select(F.col("id").alias("__id"), F.col("th").alias("__th")), F.col(id_column).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th"))).drop("__id", "__th").dropDuplicates([id_column, "__h"]).drop("__h")
-    return without(left, again, id_column).unionByName(one)
+    one = wrapped(left, id_column).join(again, F.col("id").eqNullSafe(F.col("again_id")) & (F.col("th") == F.col("again_th"))).dropDuplicates(["id", "th"]).select("row.*")
+    return without(left, again.select(F.col("again_id").alias("id"), F.col("again_th").alias("th")), id_column).unionByName(one)

@@ -111,18 +111,19 @@ def updated(rows: DataFrame, ledger: str | None, version: str) -> DataFrame:
 
 def redact(docs: DataFrame, ledger: str | None = None, version: str = VERSION, mask: str = "[SECRET]") -> DataFrame:
     """All rows and columns, with every span found in `text` replaced by the mask (overlapping spans by one)."""
-    rows = docs.withColumn("__blob", F.unhex(F.sha2(text_of(), 256)))
-    found = updated(rows.select(F.col("__blob").alias("blob"), text_of().alias("text")), ledger, version).filter("spans != ''")
+    # the rows' own columns stay in one struct, so that their names can be any
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_of().alias("body")).withColumn("blob", F.unhex(F.sha2("body", 256)))
+    found = updated(rows.select("blob", F.col("body").alias("text")), ledger, version).filter("spans != ''")
     part = lambda x, i: F.element_at(F.split(x, ":"), i).cast("int")
     spans = F.transform(F.split("spans", ","), lambda x: F.struct(part(x, 2).alias("a"), part(x, 3).alias("z")))  # by start
     # a span that begins inside an earlier one has no gap before it and adds no mask of its own
     reach = lambda upto: F.coalesce(F.array_max(F.transform(F.slice("s", 1, upto), lambda x: x["z"])), F.lit(0))
     gaps = F.transform("s", lambda x, i: F.struct(reach(i).alias("b"), x["a"].alias("a"), (x["a"] >= reach(i)).alias("new")))
-    cut = F.array_join(F.transform(F.filter("g", lambda x: x["new"]), lambda x: F.substring(F.col("__text"), x["b"] + 1, x["a"] - x["b"])), mask)
-    marked = found.select(F.col("blob").alias("__found"), spans.alias("s")).withColumn("g", gaps).withColumn("__end", reach(F.size("s"))).select("__found", "g", "__end")
-    joined = rows.withColumn("__text", text_of()).join(marked, F.col("__blob") == F.col("__found"), "left")
-    text = F.when(F.col("g").isNull(), F.col("text")).otherwise(F.concat(cut, F.lit(mask), F.substring(F.col("__text"), F.col("__end") + 1, F.length("__text"))))
-    return joined.withColumn("text", text).select(*docs.columns)
+    cut = F.array_join(F.transform(F.filter("g", lambda x: x["new"]), lambda x: F.substring(F.col("body"), x["b"] + 1, x["a"] - x["b"])), mask)
+    marked = found.select(F.col("blob").alias("found"), spans.alias("s")).withColumn("g", gaps).withColumn("end", reach(F.size("s"))).select("found", "g", "end")
+    text = F.when(F.col("g").isNull(), F.col("row.text")).otherwise(F.concat(cut, F.lit(mask), F.substring(F.col("body"), F.col("end") + 1, F.length("body"))))
+    out = rows.join(marked, F.col("blob") == F.col("found"), "left").withColumn("masked", text)
+    return out.select(*[(F.col("masked") if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def _seen(docs: DataFrame, ledger: str, version: str) -> DataFrame | None:

@@ -86,9 +86,9 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 
 
 def forms(words: pa.Array):
-    """The words, then for each length their beginnings (null for shorter words)."""
+    """The words, then for each length their beginnings (null for shorter words, and for identity terms: they count only as what is swapped)."""
     yield words
-    sizes = pc.utf8_length(words)
+    sizes = pc.if_else(pc.is_in(words, value_set=pa.array(list(SWAP), words.type)), 0, pc.utf8_length(words))
     for k in BEGINNINGS:
         begun = pc.binary_join_element_wise(pc.utf8_slice_codeunits(words, 0, k), pa.scalar("*", pa.large_string()), pa.scalar("", pa.large_string()))
         yield pc.if_else(pc.greater_equal(sizes, k), begun, pa.scalar(None, pa.large_string()))
