@@ -2,7 +2,7 @@
 
 Vectors become integers, floor(scale * x) of each component.  Query tiles meet candidate shards in
 one matrix product each; the product is cut to k entries a query at once (partial selection), lists
-of one task merge in pairs as they come, and the tasks' lists merge by a ranked window.  Scores are
+of one task merge in pairs as they come, and the tasks' lists merge as a tree, FAN of them at a time.  Scores are
 exact: products run in doubles only while every partial sum is below 2**53, else in Python integers.
 
 Vectors that are null, or hold a null or a component that is not finite, take no part; neither do
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import scratch, stored
 
 SHARD = 4096
 TILE = 1024
@@ -27,6 +27,8 @@ TILE = 1024
 PASS_BYTES = 16 << 20
 TILES = "dim int, n int, ids binary, data binary"
 LISTS = "query_id long, vec_id long, score long"
+#: Lists that one step of the tree merges into one.
+FAN = 64
 LEAST, MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
@@ -135,7 +137,18 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int
     passes = max(1, -(-(total or 0) // PASS_BYTES))
     per = max(1, -(-((parts or 0) + 1) // passes))
     for p in range(-(-((parts or 0) + 1) // per)):
-        search_pass(shards, packed.filter(F.col("part").between(p * per, (p + 1) * per - 1)), k).write.mode("append").parquet(lists_at)
-    lists = spark.read.schema(LISTS).parquet(lists_at)
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return lists.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = search_pass(shards, packed.filter(F.col("part").between(p * per, (p + 1) * per - 1)), k)
+        found.withColumn("part", F.spark_partition_id()).write.mode("append").parquet(lists_at)
+    return merged(spark.read.schema(f"{LISTS}, part int").parquet(lists_at), k)
+
+
+def merged(lists: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: each query's k best of its parts' lists, merged FAN at a time until one is left."""
+    left = (lists.agg(F.max("part")).first()[0] or 0) + 1
+    by = Window.partitionBy("query_id", "part").orderBy(F.desc("score"), "vec_id")
+    while True:
+        left = -(-left // FAN)
+        lists = lists.withColumn("part", F.expr(f"part div {FAN}").cast("int")).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+        if left <= 1:
+            return lists.select("query_id", "rank", "vec_id", "score")
+        lists = stored(lists.drop("rank"), "lists")

@@ -1,6 +1,5 @@
 """Every operator over nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names."""
 
-import hashlib
 import random
 import re
 import struct
@@ -8,7 +7,7 @@ import zlib
 
 import pytest
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from brute import brute_secrets, decontaminated, groups, key, masked, sha, tokenizer, words_of
 
 from tablewright.llm import bpe_codec, decontaminate, huffman, licenses, near_dup, secrets, suffix_dedup, token_counts, topk, toxicity
 from tablewright.llm.common import scratch, without
@@ -35,25 +34,6 @@ def empty(df):
     return df.limit(0)
 
 
-def key(rows):
-    return sorted((tuple(r) for r in rows), key=repr)
-
-
-def sha(b):
-    return hashlib.sha256(b).hexdigest()
-
-
-def fold(t):
-    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
-
-
-def tokenizer(name):
-    t = Tokenizer.from_file(vocabulary(name))
-    t.no_truncation()
-    t.no_padding()
-    return t
-
-
 def test_suffix_dedup(docs):
     length = 60
     raw = [(d, (t or "").encode()) for d, t in TEXTS]
@@ -154,26 +134,10 @@ def test_toxicity_learns_and_does_not_hang_on_the_group_named(spark):
     assert plain.max() - plain.min() > neutral.max() - neutral.min()
 
 
-def words_of(text):
-    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", fold(text))
-
-
 def test_decontamination(spark, docs):
     items = [(1, "the lazy dog while nine other animals look on and say"), (2, "Two WORDS"), (3, None), (4, ""), (5, "!!!"), (6, "nothing of the kind stands anywhere in the table of documents here"), (7, "two words"), (None, "a"), (70, LONG[1000:1400]), (8, "x" * 5000), (9, "3.14"), (1, "é ü 漢字")]
     bench = spark.createDataFrame(items, "item_id long, text string").select("item_id", "text", *[F.lit(1).alias(c) for c in CLASHING])
-    want = []
-    for d, t in TEXTS:
-        w, hit, found = words_of(t), set(), set()
-        for item, text in items:
-            v = words_of(text)
-            k = min(10, len(v))
-            for win in {tuple(v[i : i + k]) for i in range(len(v) - k + 1)} if v else ():
-                for i in range(len(w) - k + 1):
-                    if tuple(w[i : i + k]) == win:
-                        hit |= set(range(i, i + k))
-                        found.add(item)
-        named = sorted("" if i is None else str(i) for i in found)
-        want.append((d, len(w), len(hit), len(found), sha(",".join(named).encode()), bool(hit)))
+    want = decontaminated(TEXTS, items)
     assert key(decontaminate.decontaminate(docs, bench).collect()) == key(want)
     kept = decontaminate.keep_uncontaminated(docs, bench)
     assert kept.columns == docs.columns and key(kept.select("doc_id", "text").collect()) == key([x for x, y in zip(TEXTS, want, strict=True) if not y[5]])
@@ -181,30 +145,6 @@ def test_decontamination(spark, docs):
     assert not any(r.contaminated for r in decontaminate.decontaminate(docs, empty(bench)).collect())
 
 
-def groups(rows, words, percent):
-    """Set sizes and least ids of the components, row by row."""
-    sets = []
-    for _, t in rows:
-        w = re.findall(r"[^\x20\x09-\x0D]+", fold(t))
-        sets.append({tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set())
-    root = list(range(len(rows)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets[:i]):
-            if a and b and 100 * len(a & b) >= percent * len(a | b):
-                root[find(i)] = find(j)
-    least = {}
-    for i, (d, _) in enumerate(rows):
-        if d is not None and sets[i]:
-            least[find(i)] = min(d, least.get(find(i), d))
-    return [(d, len(s), least.get(find(i)) if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))], [find(i) for i in range(len(rows))]
-
-
 @pytest.mark.parametrize(("words", "percent"), [(3, 90), (5, 80), (1, 50)])
 def test_jaccard_join(docs, words, percent):
     want, _ = groups(TEXTS, words, percent)
@@ -302,15 +242,6 @@ def test_token_files(spark, docs):
     assert huffman.read_ids(spark, none).collect() == []
 
 
-def brute_secrets(text):
-    """Base spans by the contract's words."""
-    flags = {"assign": re.I | re.A}
-    found = []
-    for n, (kind, pattern, group, least) in enumerate([("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24)]):
-        found += [(m.start(), n, kind, m.end()) for m in re.finditer(pattern, text, flags.get(kind, 0)) if len(m[group]) >= least]
-    return sorted(found)
-
-
 def test_secrets(docs):
     want = []
     for d, t in TEXTS:
@@ -335,17 +266,7 @@ def test_secret_ledger_scans_only_new_blobs(spark, docs):
 
 
 def test_redaction(docs):
-    want = []
-    for d, t in TEXTS:
-        if not t:
-            want.append((d, t))
-            continue
-        out, at = "", 0
-        for a, _, _, z in brute_secrets(t):
-            if a >= at:
-                out += t[at:a] + "[SECRET]"
-            at = max(at, z)
-        want.append((d, out + t[at:]))
+    want = [(d, masked(t)) for d, t in TEXTS]
     got = secrets.redact(docs)
     assert got.columns == docs.columns and key(got.select("doc_id", "text").collect()) == key(want)
     assert [r.g for r in got.collect()] == ["own g"] * len(TEXTS)
