@@ -140,23 +140,33 @@ class SuffixFamily:
 
 
 def sampled(rows: DataFrame, length: int) -> DataFrame:
-    """(id, th, head, gram, n): each text's sampled suffixes, equal ones counted."""
+    """(id, th, head, gram, key, k, place, first, last, upto): each text's sampled suffixes and the string that their runs cover.
+
+    key: digest of all bytes of the anchor's runs.  Anchors with equal keys whose runs follow each other, as in periodic
+    texts, are one row, with k of them: place, first and last are the first one's, and the starts go on to upto.
+    """
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = bytes_of(part.column("text"))
-        place, _, _, gram = anchors(data, offsets, length)
+        place, first, last, gram = anchors(data, offsets, length)
+        raw = memoryview(data)
+        key = [xxhash.xxh3_128_digest(raw[a:z]) for a, z in zip(first.tolist(), (last + length).tolist(), strict=True)]
         owner = np.searchsorted(offsets, place, "right") - 1
-        order = np.lexsort((gram, owner))
-        owner, gram, place = owner[order], gram[order], place[order]
-        first = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(gram, prepend=gram[:1] if len(gram) else 0) != 0))
-        count = np.diff(first, append=len(owner))
-        place, padded = place[first], np.concatenate([data, np.zeros(8, np.uint8)])
-        head = padded[place[:, None] + np.arange(8)].copy().view(">u8").ravel().astype(np.uint64) ^ np.uint64(1 << 63)
-        take = pa.array(owner[first])
-        return pa.RecordBatch.from_arrays([part.column("id").take(take), part.column("th").take(take), pa.array(head.astype(np.int64)), pa.array(gram[first]), pa.array(count)], ["id", "th", "head", "gram", "n"])
+        high = np.frombuffer(b"".join(key), np.dtype([("a", np.int64), ("b", np.int64)]))
+        new = np.ones(len(place), bool)
+        new[1:] = (high["a"][1:] != high["a"][:-1]) | (high["b"][1:] != high["b"][:-1]) | (owner[1:] != owner[:-1]) | (first[1:] != last[:-1] + 1)
+        at = np.flatnonzero(new)
+        count, upto = np.diff(at, append=len(place)), last[np.append(at[1:], len(place)) - 1] if len(at) else last
+        padded, begin = np.concatenate([data, np.zeros(8, np.uint8)]), offsets[owner[at]]
+        head = padded[place[at][:, None] + np.arange(8)].copy().view(">u8").ravel().astype(np.uint64) ^ np.uint64(1 << 63)
+        take = pa.array(owner[at])
+        return pa.RecordBatch.from_arrays([
+            part.column("id").take(take), part.column("th").take(take), pa.array(head.astype(np.int64)), pa.array(gram[at]), pa.array([key[i] for i in at.tolist()], pa.binary()), pa.array(count.astype(np.int32)),
+            *[pa.array((x - begin).astype(np.int32)) for x in (place[at], first[at], last[at], upto)],
+        ], ["id", "th", "head", "gram", "key", "k", "place", "first", "last", "upto"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return map_arrow(rows, run, f"id {kind}, th long, head long, gram long, n long")
+    return map_arrow(rows, run, f"id {kind}, th long, head long, gram long, key binary, k int, place int, first int, last int, upto int")
 
 
 def with_lists(rows: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
@@ -166,36 +176,6 @@ def with_lists(rows: DataFrame, lists: DataFrame, how: str = "inner") -> DataFra
     return rows.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, F.col("id").eqNullSafe(F.col("lid")) & (F.col("th") == F.col("lth")), how).drop("lid", "lth")
 
 
-def whole_strings(rows: DataFrame, length: int) -> DataFrame:
-    """(id, th, key, k, place, first, last): of each text with a list of grams, its anchors with these grams.
-
-    key: digest of all bytes of the anchor's runs; anchors of a text with equal keys are one row, with k of them, and
-    the places of one; the starts of all are in firsts and lasts.
-    """
-
-    def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        data, offsets = bytes_of(part.column("text"))
-        place, first, last, gram = anchors(data, offsets, length)
-        owner = np.searchsorted(offsets, place, "right") - 1
-        wanted = part.column("list")
-        pairs = set(zip(np.repeat(np.arange(len(part)), np.asarray(pa.compute.list_value_length(wanted))).tolist(), pa.compute.list_flatten(wanted).to_pylist(), strict=True))
-        raw, by = memoryview(data.tobytes()), {}
-        for o, g, p, a, z in zip(owner.tolist(), gram.tolist(), place.tolist(), first.tolist(), last.tolist(), strict=True):
-            if (o, g) in pairs:
-                by.setdefault((o, xxhash.xxh3_128_digest(raw[a : z + length])), []).append((p, a, z))
-        begin = offsets.tolist()
-        at = pa.array([o for o, _ in by], pa.int64())
-        longs = pa.list_(pa.int64())
-        return pa.RecordBatch.from_arrays([
-            part.column("id").take(at), part.column("th").take(at), pa.array([k for _, k in by], pa.binary()), pa.array([len(x) for x in by.values()], pa.int64()),
-            pa.array([x[0][0] - begin[o] for (o, _), x in by.items()], pa.int64()),
-            pa.array([[a - begin[o] for _, a, _ in x] for (o, _), x in by.items()], longs), pa.array([[z - begin[o] for _, _, z in x] for (o, _), x in by.items()], longs),
-        ], ["id", "th", "key", "k", "place", "firsts", "lasts"])
-
-    kind = rows.schema["id"].dataType.simpleString()
-    return map_arrow(rows.select("id", "th", "text", "list"), run, f"id {kind}, th long, key binary, k long, place long, firsts array<long>, lasts array<long>")
-
-
 def blocks(rows: DataFrame, length: int) -> DataFrame:
     """(id, th, done, first, last, core, whole): each listed anchor's starts in blocks of STEP places before the anchor."""
 
@@ -212,10 +192,10 @@ def blocks(rows: DataFrame, length: int) -> DataFrame:
                     for n, v in zip(out, (i, x["done"], first, last, core.digest(), xxhash.xxh3_128_digest(raw[first : last + length])), strict=True):
                         out[n].append(v)
         at = pa.array(out["at"], pa.int64())
-        return pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("th").take(at), pa.array(out["done"], pa.bool_()), pa.array(out["first"], pa.int64()), pa.array(out["last"], pa.int64()), pa.array(out["core"], pa.binary()), pa.array(out["whole"], pa.binary())], ["id", "th", "done", "first", "last", "core", "whole"])
+        return pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("th").take(at), pa.array(out["done"], pa.bool_()), pa.array(out["first"], pa.int32()), pa.array(out["last"], pa.int32()), pa.array(out["core"], pa.binary()), pa.array(out["whole"], pa.binary())], ["id", "th", "done", "first", "last", "core", "whole"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return map_arrow(rows.select("id", "th", "text", "list"), run, f"id {kind}, th long, done boolean, first long, last long, core binary, whole binary")
+    return map_arrow(rows.select("id", "th", "text", "list"), run, f"id {kind}, th long, done boolean, first int, last int, core binary, whole binary")
 
 
 def singles(rows: DataFrame, length: int) -> DataFrame:
@@ -232,47 +212,82 @@ def singles(rows: DataFrame, length: int) -> DataFrame:
                     first.append(s)
                     key.append(xxhash.xxh3_128_digest(raw[s : s + length]))
         take = pa.array(at, pa.int64())
-        return pa.RecordBatch.from_arrays([part.column("id").take(take), part.column("th").take(take), pa.array(done, pa.bool_()), pa.array(first, pa.int64()), pa.array(key, pa.binary())], ["id", "th", "done", "first", "key"])
+        return pa.RecordBatch.from_arrays([part.column("id").take(take), part.column("th").take(take), pa.array(done, pa.bool_()), pa.array(first, pa.int32()), pa.array(key, pa.binary())], ["id", "th", "done", "first", "key"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return map_arrow(rows.select("id", "th", "text", "list"), run, f"id {kind}, th long, done boolean, first long, key binary")
+    return map_arrow(rows.select("id", "th", "text", "list"), run, f"id {kind}, th long, done boolean, first int, key binary")
+
+
+def merged(starts: DataFrame, length: int) -> DataFrame:
+    """(id, th, list of (first, last)): each text's spans of bytes, from starts; spans that meet are one."""
 
+    def run(batches):
+        for b in batches:
+            lists = []
+            for items in b.column("list").to_pylist():
+                cuts: list[tuple[int, int]] = []
+                for x in sorted((x["first"], x["last"]) for x in items):
+                    if cuts and x[0] <= cuts[-1][1] + length:
+                        cuts[-1] = (cuts[-1][0], max(x[1], cuts[-1][1]))
+                    else:
+                        cuts.append(x)
+                lists.append([{"first": a, "last": z + length} for a, z in cuts])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(lists, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))], ["id", "th", "list"])
 
-def repeated_starts(docs: DataFrame, length: int, id_column: str) -> DataFrame:
-    """(id, th, list of (first, last)): the starts, in bytes, of all runs of `length` bytes that start elsewhere too."""
+    kind = starts.schema["id"].dataType.simpleString()
+    # A text's runs are fewer than its bytes.
+    listed = starts.groupBy("id", "th").agg(F.collect_set(F.struct("first", "last")).alias("list"))
+    return listed.mapInArrow(run, f"id {kind}, th long, list array<struct<first:int,last:int>>")
+
+
+def repeated_spans(docs: DataFrame, length: int, id_column: str) -> DataFrame:
+    """(id, th, list of (first, last)): the bytes that runs of `length` bytes cover which start elsewhere too, last exclusive."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).alias("id"), text_of().alias("text")).withColumn("th", F.xxhash64("text"))
     long_enough = rows.filter(F.octet_length("text") >= length)
-    samples_at = scratch(spark, "samples")
+    samples_at, starts_at = scratch(spark, "samples"), scratch(spark, "starts")
     batched = sampled(long_enough, length).withColumn("batch", F.pmod(F.xxhash64("id", "th"), F.lit(BATCHES)))
     batched.write.partitionBy("batch").parquet(samples_at)
     samples = spark.read.schema(batched.schema).parquet(samples_at)
     family, found = SuffixFamily(spark), None
     for i in range(BATCHES):
-        twice = family.add(samples.filter(F.col("batch") == i).select("head", "gram", "n"))
+        twice = family.add(samples.filter(F.col("batch") == i).select("head", "gram", F.col("k").alias("n")))
         found = twice if found is None else found.unionByName(twice)
     family.drop()
-    candidates = samples.join(found.distinct(), ["head", "gram"]).groupBy("id", "th").agg(F.collect_set("gram").alias("list"))
-    strings = stored(whole_strings(with_lists(long_enough, candidates), length), "strings")
-
-    # A text's repeated grams are few against its bytes, so its lists stay below the text's own size in order.
-    copies = stored(strings.groupBy("key").agg(F.sum("k").alias("copies"), F.min(F.struct("id", "th", "place", F.get("firsts", F.lit(0)).alias("first"), F.get("lasts", F.lit(0)).alias("last"))).alias("x")), "copies")
-    spans = strings.join(copies.filter("copies > 1").select("key"), "key").select("id", "th", F.explode(F.arrays_zip(F.col("firsts").alias("first"), F.col("lasts").alias("last"))).alias("x")).select("id", "th", "x.first", "x.last")
-
-    by_text = copies.select("x.id", "x.th", F.struct("x.place", "x.first", "x.last", (F.col("copies") > 1).alias("done")).alias("y")).groupBy("id", "th").agg(F.collect_list("y").alias("list"))
-    parts = stored(blocks(with_lists(long_enough, by_text), length), "blocks")
-    wholes = parts.groupBy("whole").agg(F.count("*").alias("copies"), F.min(F.struct("id", "th", "first", "last", "core", "done")).alias("x"))
-    wholes = stored(wholes, "wholes")
-    spans = spans.unionByName(parts.filter("not done").join(wholes.filter("copies > 1").select("whole"), "whole").select("id", "th", "first", "last"))
+    strings_at = scratch(spark, "strings")
+    strings = stored(samples.drop("batch").join(found.distinct(), ["head", "gram"]), "strings", strings_at)
+    discard(spark, samples_at)
+
+    def add(starts: DataFrame) -> None:
+        starts.select("id", "th", "first", "last").write.mode("append").parquet(starts_at)
+
+    one = F.struct("id", "th", "place", "first", "last")
+    copies = stored(strings.groupBy("head", "gram", "key").agg(F.sum("k").alias("copies"), F.min(one).alias("x")), "copies")
+    add(strings.join(copies.filter("copies > 1").select("key"), "key").drop("last").withColumnRenamed("upto", "last"))
+    discard(spark, strings_at)
+
+    # Only a gram of two different strings can hold a run that one of them shares with the other.
+    several = copies.groupBy("head", "gram").agg(F.count("*").alias("n")).filter("n > 1").select("head", "gram")
+    by_text = copies.join(several, ["head", "gram"]).select("x.id", "x.th", F.struct("x.place", "x.first", "x.last", (F.col("copies") > 1).alias("done")).alias("y")).groupBy("id", "th").agg(F.collect_list("y").alias("list"))
+    parts_at = scratch(spark, "blocks")
+    parts = stored(blocks(with_lists(long_enough, by_text), length), "blocks", parts_at)
+    wholes_at = scratch(spark, "wholes")
+    wholes = stored(parts.groupBy("whole").agg(F.count("*").alias("copies"), F.min(F.struct("id", "th", "first", "last", "core", "done")).alias("x")), "wholes", wholes_at)
+    add(parts.filter("not done").join(wholes.filter("copies > 1").select("whole"), "whole"))
+    discard(spark, parts_at)
 
     # of blocks whose core stands in two distinct strings, one of each goes on
     cores = wholes.groupBy("x.core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
     mixed = wholes.select("x.*", (F.col("x.done") | (F.col("copies") > 1)).alias("settled")).join(cores, "core")
     by_text = mixed.select("id", "th", F.struct("first", "last", F.col("settled").alias("done")).alias("y")).groupBy("id", "th").agg(F.collect_list("y").alias("list"))
-    runs = stored(singles(with_lists(long_enough, by_text), length), "runs")
+    runs_at = scratch(spark, "runs")
+    runs = stored(singles(with_lists(long_enough, by_text), length), "runs", runs_at)
+    discard(spark, wholes_at)
     again = runs.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    spans = spans.unionByName(runs.filter("not done").join(again, "key").select("id", "th", "first", F.col("first").alias("last")))
-    return spans.groupBy("id", "th").agg(F.collect_set(F.struct("first", "last")).alias("list"))
+    add(runs.filter("not done").join(again, "key").withColumn("last", F.col("first")))
+    discard(spark, runs_at)
+    kind = rows.schema["id"].dataType.simpleString()
+    return merged(spark.read.schema(f"id {kind}, th long, first int, last int").parquet(starts_at), length)
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, id_column: str = "doc_id", full: bool = False) -> DataFrame:
@@ -281,17 +296,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_column: str = "doc_id"
     Every byte that some repeated run covers goes.
     """
     rows = docs.select(F.col(id_column).alias("id"), text_of().alias("text")).withColumn("th", F.xxhash64("text"))
-    spans = repeated_starts(docs, length, id_column)
+    spans = repeated_spans(docs, length, id_column)
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         n_bytes, n_removed, n_spans, digests, kept_all, cut_all = [], [], [], [], [], []
         for text, items in zip(part.column("text").to_pylist(), part.column("list").to_pylist(), strict=True):
-            raw, cuts = text.encode(), []
-            for first, last in sorted((x["first"], x["last"] + length) for x in items or ()):
-                if cuts and first <= cuts[-1][1]:
-                    cuts[-1][1] = max(last, cuts[-1][1])
-                else:
-                    cuts.append([first, last])
+            raw, cuts = text.encode(), [[x["first"], x["last"]] for x in items or ()]
             at, kept = 0, []
             for first, last in cuts:
                 kept.append(raw[at:first])
