@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import MASK, SECRET_PATTERNS, bucket, clip, redact, token_estimate, tokens, words
-from .operators import catalog, evaluation, retrieval, windows
+from .operators import catalog, evaluation, release, retrieval, windows
 from .plans.binder import BoundPlan, bind
 from .plans.compiler import compile_plan
 from .plans.contracts import Dimension, Filter, Join, Measure, Order, QuerySpec, SchemaPlan
@@ -423,6 +423,57 @@ def split_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.groupBy("split").agg(F.count("*").alias("n"))
 
 
+# Releases: each customer's orders as runs of two versions.
+_SHADOW = (
+    "d AS (SELECT o_orderkey, c_mktsegment AS deployment, o_orderstatus <> 'P' AS a_ok, o_orderpriority <> '5-LOW' AS b_ok, o_totalprice / 1000 AS a_ms, (o_totalprice + CASE WHEN c_nationkey < 12 THEN 0 ELSE 60000 END) / 1000 AS b_ms, "
+    "o_custkey % 7 = 0 AS other FROM orders JOIN customer ON o_custkey = c_custkey), "
+    "x AS (SELECT *, CASE WHEN a_ok AND b_ok THEN NOT other ELSE a_ok = b_ok END AS same, a_ok AND NOT b_ok AS failed FROM d)"
+)
+
+
+def _shadow_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, customer = read(spark, sf_dir, "orders", "customer")
+    rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    none = F.array().cast("array<string>")
+    status = lambda ok: F.when(ok, "success").otherwise("rejected")
+    common = [F.lit(None).cast("string").alias("question"), F.lit("").alias("error"), none.alias("errors"), none.alias("refs"), F.lit("SELECT 1").alias("sql")]
+    late = F.when(F.col("c_nationkey") < 12, 0).otherwise(60000)
+    stable = rows.select("o_orderkey", status(F.col("o_orderstatus") != "P").alias("status"), F.lit("r").alias("result"), (F.col("o_totalprice") / 1000).alias("ms"), *common)
+    candidate = rows.select("o_orderkey", status(F.col("o_orderpriority") != "5-LOW").alias("status"), F.when(F.col("o_custkey") % 7 == 0, "s").otherwise("r").alias("result"), ((F.col("o_totalprice") + late) / 1000).alias("ms"), *common)
+    return release.shadow_diff(stable, candidate, "o_orderkey").join(rows.select("o_orderkey", F.col("c_mktsegment").alias("deployment")), "o_orderkey")
+
+
+@query(f"WITH {_SHADOW} SELECT same AS result_equivalent, failed AS candidate_failed, NOT same OR failed AS review_required, COUNT(*) AS n FROM x GROUP BY 1, 2, 3")
+def shadow_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shadow_runs(spark, sf_dir).groupBy("result_equivalent", "candidate_failed", "review_required").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"WITH {_SHADOW}, r AS (SELECT deployment, COUNT(*) AS samples, ROUND(AVG(failed::INT), 6) AS failure_rate, ROUND(AVG((NOT same)::INT), 6) AS disagreement_rate, quantile_disc(a_ms, 0.95) AS a, quantile_disc(b_ms, 0.95) AS b FROM x GROUP BY 1) "
+    "SELECT deployment, samples, failure_rate, disagreement_rate, CASE WHEN samples < 20 THEN 'shadow_running' WHEN failure_rate > 0.5 OR disagreement_rate > 0.2 OR (b > a * 1.2 AND b - a > 25) THEN 'rolled_back:shadow_threshold_exceeded' ELSE 'shadow_review' END AS decision FROM r"
+)
+def shadow_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = release.shadow_decision(_shadow_runs(spark, sf_dir), ["deployment"], release.Shadow(most_failures=0.5))
+    return found.select("deployment", "samples", "failure_rate", "disagreement_rate", "decision")
+
+
+@query("SELECT doc_id, quality = 0 AS present_before, toxic = 0 AS gone_after, quality = 0 AND toxic = 0 AS passed FROM labels")
+def replayed_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (labels,) = read(spark, sf_dir, "labels")
+    code = lambda bad: F.when(bad, F.array(F.lit("wrong"))).otherwise(F.array().cast("array<string>"))
+    runs = lambda bad: labels.select("doc_id", code(bad).alias("codes"))
+    found = release.target_replay(labels.select("doc_id", F.lit("wrong").alias("code")), runs(F.col("quality") == 0), runs(F.col("toxic") == 1), "doc_id")
+    return found.select("doc_id", "present_before", "gone_after", "passed")
+
+
+@query("SELECT CASE WHEN o_orderstatus = 'F' THEN 'approved' WHEN o_orderstatus = 'P' THEN 'rejected' ELSE 'pending' END AS state, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY 1, 2".join(
+    ("SELECT o_orderpriority, CAST(SUM(n) AS BIGINT) AS total, CAST(SUM(CASE state WHEN 'approved' THEN n ELSE 0 END) AS BIGINT) AS approved, CAST(SUM(CASE state WHEN 'rejected' THEN n ELSE 0 END) AS BIGINT) AS rejected, CAST(SUM(CASE state WHEN 'pending' THEN n ELSE 0 END) AS BIGINT) AS pending FROM (", ") GROUP BY 1")))
+def review_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (orders,) = read(spark, sf_dir, "orders")
+    state = F.when(F.col("o_orderstatus") == "F", "approved").when(F.col("o_orderstatus") == "P", "rejected").otherwise("pending")
+    return release.review_counts(orders.withColumn("state", state), "o_orderpriority", "state")
+
+
 # Retrieval.
 _WORDS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')"
 _LEXICAL = (
@@ -470,6 +521,26 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top_k(fused, "question_id", "doc_id", 5).select("question_id", "doc_id", "rank")
 
 
+_FIELDS = (("p_name", 2.4), ("p_brand", 2.1), ("p_type", 1.0))
+_PIECES = "regexp_extract_all(lower(replace(regexp_replace({}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '_', ' ')), '[a-z0-9]+')"
+_EVIDENCE = (
+    f"q AS (SELECT DISTINCT p_type AS question_id, unnest({_PIECES.format('p_type')}) AS token FROM part), a AS (SELECT question_id, COUNT(*) AS asked FROM q GROUP BY 1), "
+    "i AS (SELECT item_id, token, MAX(weight) AS weight FROM (" + " UNION ALL ".join(f"SELECT p_partkey AS item_id, unnest({_PIECES.format(c)}) AS token, {w}::DOUBLE AS weight FROM part" for c, w in _FIELDS) + ") GROUP BY 1, 2), "
+    "h AS (SELECT question_id, item_id, COUNT(*) AS common, SUM((1 + ln(1 + length(token))) * weight) AS special FROM q JOIN i USING (token) GROUP BY 1, 2), "
+    "s AS (SELECT question_id, item_id, ROUND(1.5 * (4 * common / asked::DOUBLE + special + CASE WHEN contains(lower(p_name || chr(10) || p_brand || chr(10) || chr(10) || p_type), lower(question_id)) THEN 3 ELSE 0 END), 6) AS score "
+    "FROM h JOIN a USING (question_id) JOIN part ON p_partkey = item_id)"
+)
+
+
+@query(f"WITH {_EVIDENCE}, r AS (SELECT question_id, item_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, item_id) AS rank FROM s) SELECT question_id, item_id, rank FROM r WHERE rank <= 10")
+def evidence_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (part,) = read(spark, sf_dir, "part")
+    none = F.array().cast("array<string>")
+    items = part.select(F.col("p_partkey").alias("item_id"), F.lit("schema").alias("kind"), F.col("p_name").alias("title"), F.col("p_brand").alias("item_key"), none.alias("dependencies"), F.col("p_type").alias("content"), none.alias("values"))
+    scores = retrieval.evidence_scores(part.select(F.col("p_type").alias("question_id"), F.col("p_type").alias("text")).distinct(), items, "schema-grounding")
+    return retrieval.top_k(scores, "question_id", "item_id", 10).select("question_id", "item_id", "rank")
+
+
 # Text functions.
 def _redact_sql() -> str:
     out = "text"
