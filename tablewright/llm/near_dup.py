@@ -5,15 +5,17 @@ Jaccard similarity of at least the threshold differ in at most D members, where
 sizes.  Sets are joined within size bands, so that D is one number for a band: the sketch is a row of
 P = D + 1 + SPARE blocks of BITS bits, and each member flips one bit of one block.  The Hamming
 distance of two sketches is at most the size of the sets' symmetric difference, so at most D blocks
-differ and at least one is equal in both.  Documents join on equal blocks (as 64-bit codes of the
-bits set), what is joined is clustered, and each cluster's pairs are verified on the sets themselves.
+differ and at least one is equal in both.  Documents meet on equal blocks (as 64-bit codes of the
+bits set).  Most blocks have one document and are done; those that meet on a block compare a second,
+small parity sketch, and only what its Hamming distance leaves is a candidate.  Candidates are
+clustered, and each cluster's pairs are verified on the sets themselves.
 
 A block with fewer than WEAK members says little.  A set with at most SPARE such blocks leaves them
 out: of the blocks in which a pair agrees, SPARE + 1 at least, one then is kept by both.
 
-Equal sets are one class from the start, and only one of them per task enters the join.  Clusters
-larger than CHUNK members' hashes are verified in pairs of chunks, so that no task holds a whole one;
-a chunk pair gives a forest of links, never all pairs.
+Equal sets are one class from the start, and only one of them per task enters the join.  Groups of
+more than GROUP documents and clusters of more than CHUNK members' hashes are worked on in pairs of
+chunks, so that no task holds a whole one; each gives a forest of links, never all pairs.
 
 Shingles and classes are 64-bit hashes.  A null or empty text, or one without words, has an empty set
 and is linked with nothing.  Rows with equal ids but different texts are classes of their own.  A row
@@ -37,8 +39,11 @@ from .components import components
 SPARE = 2
 WEAK = 3
 BITS = 1024
-#: Hashes that one verification holds.
+#: Hashes that one verification holds, and documents of one block that one task compares.
 CHUNK = 2_000_000
+GROUP = 50_000
+#: Bits of the smallest parity sketch; larger sets have larger ones, in powers of two, that fold to it.
+LEAST_BITS = 1024
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -122,8 +127,14 @@ def sketch_keys(hashes: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else hashes[:0]
 
 
+def parity(hashes: np.ndarray) -> bytes:
+    """One bit for each place that an odd number of members has; about as many bits as members."""
+    bits = max(LEAST_BITS, 1 << (len(hashes) - 1).bit_length())
+    return np.packbits((np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
+
+
 def sketched(docs: DataFrame, words: int, percent: int, id_column: str) -> DataFrame:
-    """(id, th, n, node, keys): each row's set size and class; the keys once for each class and task."""
+    """(id, th, n, node, keys, bits): each row's set size and class; its sketches once for each class and task."""
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("id"), text_of().alias("text")).withColumn("th", F.xxhash64("text"))
 
@@ -131,22 +142,23 @@ def sketched(docs: DataFrame, words: int, percent: int, id_column: str) -> DataF
         bands, seen = Bands(percent), set()
         for part in (p for b in batches for p in steps(b, "text")):
             hashes, ends = shingle_sets(part.column("text"), words)
-            nodes, keys = [], []
+            nodes, keys, bits = [], [], []
             for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 node = xxhash.xxh3_64_intdigest(hashes[a:z].tobytes()) - (1 << 63) if z > a else None
-                nodes.append(node)
-                if node is None or node in seen:
-                    keys.append(None)
-                else:
+                own = None
+                if node is not None and node not in seen:
                     seen.add(node)
-                    keys.append(sketch_keys(hashes[a:z], bands).tobytes() or None)
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), pa.array(np.diff(ends)), pa.array(nodes, pa.int64()), pa.array(keys, pa.binary())], ["id", "th", "n", "node", "keys"])
+                    own = sketch_keys(hashes[a:z], bands).tobytes() or None
+                nodes.append(node)
+                keys.append(own)
+                bits.append(parity(hashes[a:z]) if own else None)
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), pa.array(np.diff(ends)), pa.array(nodes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bits, pa.binary())], ["id", "th", "n", "node", "keys", "bits"])
 
-    return rows.mapInArrow(run, f"id {kind}, th long, n long, node long, keys binary")
+    return rows.mapInArrow(run, f"id {kind}, th long, n long, node long, keys binary, bits binary")
 
 
-def block_edges(sets: DataFrame) -> DataFrame:
-    """(u, v): each class beside the smallest with which it shares a block."""
+def shared_blocks(sets: DataFrame) -> DataFrame:
+    """(gid, size, node): the classes of each block that several have; blocks of the same classes are one group."""
 
     def spread(batches):
         for b in batches:
@@ -155,22 +167,97 @@ def block_edges(sets: DataFrame) -> DataFrame:
                 sizes = np.asarray(pa.compute.binary_length(keys), np.int64) // 8
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(keys.to_pylist()), np.int64)), pa.array(np.repeat(nodes, sizes))], ["key", "node"])
 
-    def stars(batches):
-        key = hub = None
+    def several(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+        new = np.ones(len(keys), bool)  # a class can come from several tasks
+        new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+        keys, nodes = keys[new], nodes[new]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        sizes = np.diff(first, append=len(keys))
+        gid = mix(np.add.reduceat(mix(nodes.astype(np.uint64)), first) + sizes.astype(np.uint64)).astype(np.int64) if len(first) else first
+        at = np.repeat(sizes > 1, sizes)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(gid, sizes)[at]), pa.array(np.repeat(sizes, sizes)[at]), pa.array(nodes[at])], ["gid", "size", "node"])
+
+    def groups(batches):
+        keys = nodes = np.zeros(0, np.int64)
         for b in batches:
-            keys, nodes = np.asarray(b.column("key")), np.asarray(b.column("node"))
-            if not len(keys):
-                continue
-            first = np.diff(keys, prepend=keys[0]) != 0
-            first[0] = key is None or keys[0] != key
-            at = np.maximum.accumulate(np.where(first, np.arange(len(keys)), -1))
-            hubs = np.where(at >= 0, nodes[at], hub if hub is not None else 0)
-            key, hub = int(keys[-1]), int(hubs[-1])
-            pairs = np.unique(np.stack([nodes, hubs], 1)[nodes != hubs], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+            keys, nodes = np.concatenate([keys, np.asarray(b.column("key"))]), np.concatenate([nodes, np.asarray(b.column("node"))])
+            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last block may go on in the next batch
+            if cut:
+                yield several(keys[:cut], nodes[:cut])
+                keys, nodes = keys[cut:], nodes[cut:]
+        yield several(keys, nodes)
 
     rows = sets.filter(F.col("keys").isNotNull()).select("node", "keys").mapInArrow(spread, "key long, node long")
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(stars, "u long, v long").distinct()
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(groups, "gid long, size long, node long").distinct()
+
+
+def close(members: list[tuple[int, int, bytes]], percent: int, split: list[bool] | None = None) -> list[tuple[int, int]]:
+    """A forest over (node, size, parity sketch) of pairs whose sketches don't rule out that they are similar."""
+    order = sorted(range(len(members)), key=lambda i: members[i][1])
+    nodes, sizes = [members[i][0] for i in order], np.array([members[i][1] for i in order])
+    widths = [len(members[i][2]) for i in order]  # they rise with the sizes
+    side = np.array([split[i] for i in order]) if split else None
+    label, links, width, table = np.arange(len(order)), [], 0, None
+    for i in range(len(order) - 1):
+        last = int(np.searchsorted(sizes, sizes[i] * 100 // percent, "right"))
+        open_ = label[i + 1 : last] != label[i]
+        if side is not None:
+            open_ &= side[i + 1 : last] != side[i]
+        at = np.flatnonzero(open_) + i + 1
+        if not len(at):
+            continue
+        if widths[i] != width:
+            width, base = widths[i], i
+            table = np.stack([np.bitwise_xor.reduce(np.frombuffer(members[j][2], np.uint64).reshape(-1, width // 8), axis=0) for j in order[i:]])
+        most = (sizes[i] + sizes[at]) * (100 - percent) // (100 + percent)
+        for start in range(0, len(at), 4096):
+            some = at[start : start + 4096]
+            apart = np.bitwise_count(table[some - base] ^ table[i - base]).sum(1)
+            found = some[apart <= most[start : start + 4096]]
+            joined, one = np.unique(label[found], return_index=True)
+            new = joined != label[i]
+            if new.any():
+                links += [(nodes[i], nodes[int(j)]) for j in found[one[new]]]
+                label[np.isin(label, joined)] = label[i]
+    return links
+
+
+def in_pairs_of_chunks(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Rows (key, chunks, node, ...) to (key, a, b, second, ...): each meets the others of its key chunk by chunk, once for each chunk."""
+    chunk = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    return chunk.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(key, F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), (F.col("chunk") > F.col("other")).alias("second"), *columns)
+
+
+def linked(pairs: DataFrame, key: str, compare) -> DataFrame:
+    """(u, v): what compare(members, split) gives for each (key, a, b); members are the rows' columns after second."""
+
+    def run(batches):
+        at, group = None, []
+
+        def done():
+            if len(group) < 2:
+                return None
+            found = compare([m for _, m in group], [s for s, _ in group] if at[1] != at[2] else None)
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["u", "v"])
+
+        for b in batches:
+            for k, p, q, second, *member in zip(*(b.column(i).to_pylist() for i in range(b.num_columns)), strict=True):
+                if (k, p, q) != at:
+                    if (out := done()) is not None:
+                        yield out
+                    at, group = (k, p, q), []
+                group.append((second, member))
+        if (out := done()) is not None:
+            yield out
+
+    return pairs.repartition(key, "a", "b").sortWithinPartitions(key, "a", "b").mapInArrow(run, "u long, v long")
+
+
+def block_edges(sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): for each block, a forest over its classes of what may be similar."""
+    sketches = sets.filter(F.col("bits").isNotNull()).select("node", "n", "bits").dropDuplicates(["node"])
+    rows = shared_blocks(sets).join(sketches, "node").withColumn("chunks", F.ceil(F.col("size") / GROUP).cast("int"))
+    return linked(in_pairs_of_chunks(rows, "gid", ["node", "n", "bits"]), "gid", lambda members, split: close(members, percent, split)).distinct()
 
 
 def verified(members: list[tuple[int, np.ndarray]], percent: int, split: list[bool] | None = None) -> list[tuple[int, int]]:
@@ -229,37 +316,18 @@ def true_links(docs: DataFrame, sets: DataFrame, clusters: DataFrame, words: int
         raw = [hashes[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:], strict=True)]
         return pa.RecordBatch.from_arrays([part.column("node"), part.column("cluster"), part.column("chunks"), pa.array(raw, pa.binary())], ["node", "cluster", "chunks", "hashes"])
 
-    members = map_arrow(texts, to_sets, "node long, cluster long, chunks int, hashes binary").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    # a member of chunk c goes to the pairs (0, c) ... (c, c) ... (c, last): once for each chunk
-    pairs = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("cluster", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), (F.col("chunk") > F.col("other")).alias("second"), "node", "hashes")
-
-    def verify(batches):
-        key, group = None, {}
+    members = map_arrow(texts, to_sets, "node long, cluster long, chunks int, hashes binary")
 
-        def done():
-            if len(group) < 2:
-                return None
-            split = [s for s, _ in group.values()] if key[1] != key[2] else None
-            found = verified([(n, h) for n, (_, h) in group.items()], percent, split)
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["u", "v"])
-
-        for b in batches:
-            for c, p, q, second, node, raw in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                if (c, p, q) != key:
-                    if (out := done()) is not None:
-                        yield out
-                    key, group = (c, p, q), {}
-                group[node] = (second, np.frombuffer(raw, np.uint64))
-        if (out := done()) is not None:
-            yield out
+    def compare(found, split):
+        return verified([(node, np.frombuffer(raw, np.uint64)) for node, raw in found], percent, split)
 
-    return pairs.repartition("cluster", "a", "b").sortWithinPartitions("cluster", "a", "b").mapInArrow(verify, "u long, v long")
+    return linked(in_pairs_of_chunks(members, "cluster", ["node", "hashes"]), "cluster", compare)
 
 
 def grouped(docs: DataFrame, words: int, percent: int, id_column: str) -> DataFrame:
     """(id, th, n, root) for each row: its component's class, null for an empty set."""
     sets = stored(sketched(docs, words, percent, id_column), "sets")
-    edges = stored(block_edges(sets), "edges")
+    edges = stored(block_edges(sets, percent), "edges")
     links = stored(true_links(docs, sets, components(edges), words, percent, id_column), "links")
     return sets.select("id", "th", "n", "node").join(components(links), "node", "left").select("id", "th", "n", F.coalesce("root", "node").alias("root"))
 
