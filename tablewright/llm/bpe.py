@@ -93,6 +93,7 @@ class Merges:
         for t, i in [*inner.items(), *last.items()]:
             self.length[i] = len(t)
         self.length.append(1)  # of -1, so that a walk ends
+        self.longest = max(self.length)
 
     def _spine(self, token: int, side: int, store: dict) -> list[tuple[int, int]]:
         """The tokens at one border of a token from the whole inwards, each with the rank at which it is merged away."""
@@ -181,9 +182,13 @@ class Merges:
             yield out
             before = word
 
-    def prefix_counts(self, word: str) -> list[int]:
-        """counts[i]: tokens of the first i letters of the word, as a text of their own."""
-        states, inner, counts, length = [-1], [0], [0], self.length
+    def prefix_states(self, word: str, most: int | None = None) -> tuple[list[int], list[int], list[int]]:
+        """For each i: the last token of the first i letters, their tokens inside a longer word, and their tokens as a text of their own.
+
+        most: end where no longer prefix can have that few tokens.  Every longer one has a border among
+        any `longest` neighbouring places, so it has more tokens once all of those have more.
+        """
+        states, inner, counts, length, over = [-1], [0], [0], self.length, 0
         for i in range(1, len(word) + 1):
             states.append(self._state(word, i, states, self.inner_ends))
             inner.append(inner[i - length[states[i]]] + 1)
@@ -191,7 +196,25 @@ class Merges:
                 counts.append(inner[i - length[self._state(word, i, states, self.last_ends)]] + 1)
             else:
                 counts.append(inner[i])
-        return counts
+            if most is not None:
+                over = over + 1 if inner[i] > most else 0
+                if over > self.longest:
+                    break
+        return states, inner, counts
+
+    def prefix_counts(self, word: str) -> list[int]:
+        """counts[i]: tokens of the first i letters of the word, as a text of their own."""
+        return self.prefix_states(word)[2]
+
+    def count_changed(self, word: str, n: int, states: list[int], inner: list[int], more: str) -> int:
+        """Tokens of the first n letters of the word and `more`, from the word's states: only the letters of `more` are walked."""
+        begin = max(0, n - self.longest - 1)  # no token of the walk reaches a later word's begin
+        tail, near, sums = word[begin:n] + more, states[begin : n + 1], inner[begin : n + 1]
+        size = len(tail)
+        for i in range(n - begin + 1, size + 1):
+            near.append(self._state(tail, i, near, self.inner_ends))
+            sums.append(sums[i - self.length[near[i]]] + 1)
+        return sums[size - self.length[self._state(tail, size, near, self.last_ends)]] + 1 if self.end and size else sums[size]
 
 
 class Words:

@@ -11,7 +11,11 @@ Very long texts and very long words take memory in proportion to themselves.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
+import unicodedata
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +27,8 @@ from .bpe import Words, words_of
 from .common import map_arrow, text_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Characters of the longest piece that isn't a run of one kind ("'re").
+NEAR = 3
 
 
 def prefix_table(words: Words, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -31,19 +37,97 @@ def prefix_table(words: Words, text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array([m.end() for m in WORD.finditer(text)], np.int64), np.cumsum(counts)
 
 
-def word_prefixes(words: Words, word: str) -> list[int]:
+@cache
+def composing() -> frozenset[str]:
+    """Characters that a normaliser can join to the one before: second parts of compositions, and Hangul vowels and ends."""
+    parts = (unicodedata.decomposition(chr(c)).split() for c in range(0x110000))
+    return frozenset([chr(int(p[1], 16)) for p in parts if len(p) == 2 and p[0][0] != "<"] + [chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))])
+
+
+@cache
+def joins(c: str) -> bool:
+    """Whether normalising can change with what stands before this character."""
+    first = unicodedata.normalize("NFD", c)[0]
+    return c > "\x7f" and (first in composing() or unicodedata.combining(first) > 0)
+
+
+def word_prefixes(words: Words, word: str, most: int | None = None) -> list[int]:
     """counts[i]: tokens of the word's first i characters.
 
-    A word that is one plain piece has them from one pass of the dynamic programme; in others the
-    pieces before the last are summed, and a cut inside them is a piece list of its own.
+    Pieces before the cut are summed, and one pass of the dynamic programme over each piece has the
+    counts of all its cuts, so time and memory are in proportion to the word (and to the square of
+    the marks on one letter).  With `most`, larger counts may be given as most + 1, and the list ends
+    where no longer prefix has that few.
+    """
+    out, whole = [0], 0
+    parts = [*(words.special.split(word) if words.special else [word]), ""]
+    for text, special in zip(parts[::2], parts[1::2], strict=True):
+        # a special token is text until it is whole
+        found = _text_prefixes(words, text + special[:-1], None if most is None else most - whole)
+        out += [whole + c for c in found[1:]]
+        if len(found) <= len(text):
+            break
+        if special:
+            out += [most + 1 if most is not None else 0] * (len(text) + len(special) - len(found))
+            whole += found[len(text)] + 1
+            out.append(whole)
+    return out
+
+
+def _text_prefixes(words: Words, text: str, most: int | None) -> list[int]:
+    """As word_prefixes, for a word without special tokens.
+
+    Characters that join to the one before form groups with it.  Normalised groups stand one after
+    another; a cut inside one can change only its own letters and where the last pieces before it end.
     """
-    pieces = words.pieces(word)
-    if len(pieces) == 1 and isinstance(pieces[0], str) and len(pieces[0]) == len(word) and word.isascii():
-        return words.merges.prefix_counts(pieces[0])
-    out = [0]
-    for i in range(1, len(word) + 1):
-        words.add([word[:i]])
-        out.append(words.length[words.code[word[:i]]])
+    normal = words.library.normalizer.normalize_str if words.library.normalizer is not None else str
+    split, merges = words.library.pre_tokenizer.pre_tokenize_str, words.merges
+    normal_of, count_of = cache(normal), cache(lambda piece: merges.prefix_counts(piece)[-1])
+    begins_of_groups = [i for i, c in enumerate(text) if not i or not joins(c)] + [len(text)]
+    groups = [[normal_of(text[a:i]) for i in range(a + 1, b + 1)] for a, b in itertools.pairwise(begins_of_groups)]
+    line = "".join(g[-1] for g in groups)
+    pieces = split(line)
+    begins, ends = [a for _, (a, _) in pieces], [b for _, (_, b) in pieces]
+    before, tables = [0], []  # tokens before each piece; its states, and the letters before each of its characters
+    out, cut, closed = [0], 0, len(line) + 1  # closed: what goes on from here has more than `most`
+    for group in groups:
+        while len(tables) < len(pieces) and begins[len(tables)] < cut + len(group[-1]) and closed > len(line):
+            letters, (a, b) = pieces[len(tables)]
+            places = np.cumsum([0, *[len(c.encode()) for c in line[a:b]]])
+            states, inner, counts = merges.prefix_states(letters, None if most is None else most - before[-1])
+            tables.append((states, inner, counts, places))
+            before.append(before[-1] + counts[-1])
+            if len(counts) <= len(letters):
+                closed = a + int(np.searchsorted(places, len(counts) - 1))
+        safe = max(bisect.bisect_right(begins, cut - NEAR) - 1, 0)  # pieces before this one stay, whatever comes
+        if cut >= closed or most is not None and before[min(safe, len(tables))] > most:
+            break
+        for some in group:
+            end = cut + len(some)
+            if line.startswith(some, cut):
+                at = bisect.bisect_left(ends, end)
+                if end >= closed:
+                    out.append(most + 1)
+                elif at == len(pieces) or begins[at] >= end:
+                    out.append(before[at])
+                elif ends[at] == end:
+                    out.append(before[at + 1])
+                elif ends[at] - begins[at] > NEAR:
+                    _, _, counts, places = tables[at]
+                    out.append(before[at] + counts[places[end - begins[at]]])
+                else:
+                    out.append(before[at] + sum(count_of(p) for p, _ in split(line[begins[at] : end])))
+                continue
+            begin = begins[safe] if begins and begins[safe] <= cut - NEAR else 0
+            if cut - begin <= 4 * NEAR:
+                out.append(before[safe] + sum(count_of(p) for p, _ in split(line[begin:cut] + some)))
+                continue
+            # a long run: its end tells where the pieces end, its states the tokens
+            near = max(min(cut, ends[safe]) - 2 * NEAR, begin)
+            (first, _), *rest = split(line[near:cut] + some)
+            states, inner, _, places = tables[safe]
+            out.append(before[safe] + merges.count_changed(pieces[safe][0], int(places[near - begin]), states, inner, first) + sum(count_of(p) for p, _ in rest))
+        cut += len(group[-1])
     return out
 
 
@@ -68,7 +152,7 @@ def fitting_prefix(words: Words, text: str, budget: int, table: tuple[np.ndarray
     if k >= len(ends):
         return begin
     m = WORD.search(text, begin)
-    inside = word_prefixes(words, m[0])
+    inside = word_prefixes(words, m[0], budget - whole)
     fits = max(i for i, c in enumerate(inside) if whole + c <= budget)
     return m.start() + fits if fits else begin
 

@@ -1,8 +1,10 @@
 """Every operator over nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names."""
 
+import base64
 import random
 import re
 import struct
+import unicodedata
 import zlib
 
 import pytest
@@ -72,6 +74,42 @@ def test_token_counts_of_prefixes(docs):
         assert [token_counts.count_prefix(words, text, n) for n in range(len(text) + 1)] == [count(text[:n]) for n in range(len(text) + 1)]
 
 
+def test_token_counts_of_long_words(spark):
+    """Over-budget words of 50,000 characters without spaces: the longest prefix that fits, in proportion to their length."""
+    r = random.Random(5)
+    rows = [
+        (1, "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(50_000))), (2, base64.b64encode(r.randbytes(37_500)).decode()), (3, "7!?" * 16_000 + "x"),
+        (4, "".join(r.choice(["a=1;", "f(x)", "return!0"]) for _ in range(10_000))), (5, unicodedata.normalize("NFD", "한é" * 10_000)), (6, "x" * 50_000),
+    ]
+    t = tokenizer("word_bpe_49k.json")
+    count = lambda x: len(t.encode(x, add_special_tokens=False).ids)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    fits = {x.doc_id: x.fit_chars for x in token_counts.token_counts(df, vocabulary("word_bpe_49k.json"), budget=500).collect()}
+    words = token_counts.words_of(vocabulary("word_bpe_49k.json"))
+    words.clear()
+    for d, text in rows:
+        # no token has over 40 letters, so nothing that fits is far behind the budget's place
+        near = range(max(0, fits[d] - 60), fits[d] + 200)
+        assert fits[d] == max(i for i in near if count(text[:i]) <= 500), d
+        assert token_counts.fitting_prefix(words, text, 500) == fits[d]
+    assert len(words.code) == len(rows)  # no prefix is kept
+
+
+def test_token_counts_of_cuts(spark):
+    """Cuts inside contractions, special tokens, and characters that join to the one before."""
+    r = random.Random(6)
+    t = tokenizer("word_bpe_49k.json")
+    count = lambda x: len(t.encode(x, add_special_tokens=False).ids)
+    words = token_counts.words_of(vocabulary("word_bpe_49k.json"))
+    some = ["'", "'", "s", "re", "e", "é", "\u0301", "\u0323", "漢", "가", "\u1100", "\u1161", "\u11a8", "1", "!-", "😀", "\xa0", "<|endoftext|>", "<|end", "\u0338", "İ", "ſ", "ing", "か", "\u3099", "\u0344", "", "word" * 5]
+    for n in range(400):
+        word = "".join(r.choice(some if n % 3 else some[:10]) for _ in range(r.randint(1, 14)))
+        want = [count(word[:i]) for i in range(len(word) + 1)]
+        assert token_counts.word_prefixes(words, word) == want, ascii(word)
+        budget = r.randint(0, max(want))
+        assert token_counts.fitting_prefix(words, word, budget) == (len(word) if want[-1] <= budget else max(i for i, c in enumerate(want) if c <= budget)), ascii(word)
+
+
 def test_top_k(spark):
     r = random.Random(3)
     rows = [(i, [r.choice([-1.0, -0.5, 0.0, 0.25, 1.0]) for _ in range(4)]) for i in range(300)]
