@@ -1,9 +1,11 @@
 """License scans by ordered signature rules.
 
-Base phrases are runs of words (letters, digits and all beyond ASCII; A-Z lowered).  On top, some
-hundreds of signature rules, regular expressions for the ways in which texts name a license, run over
-the lowered text: a rule is tried only where its keyword occurs, and a text is looked at only where
-some keyword does.  Rules are ordered by priority; a detection that lies inside another of at least
+Base phrases are runs of words (letters, digits and all beyond ASCII; A-Z lowered).  On top,
+signature rules run over the lowered text.  They are of two kinds: each way to name a license with
+each family's names put in (36 families, 8 ways), and rules written by hand for the licenses' own
+texts, titles and headers.  Words may be parted by any white space, and by comment marks after a line
+end.  A rule is tried only where its keyword occurs, and a text is looked at only where some keyword
+does.  Rules are ordered by priority; a detection that lies inside another of at least
 its priority is suppressed, so that "the GNU Lesser General Public License" isn't also the GPL.
 
 A null text counts as empty: no words, no labels, score 0.  Rows are independent: repeated rows give
@@ -26,6 +28,10 @@ from .common import LOWER, letters_only, map_arrow, mapped, text_of
 # Base phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
+#: What may stand between two words: white space, and after a line end the marks of a comment.
+BLANK = "[ \\t\\r\\f\\v\xa0]"
+GAP = rf"(?:{BLANK}*(?:\n[{BLANK[1:-1]}*#;/%!>|-]*)+|{BLANK}+)"
+
 # License families.  label: (name as a pattern over lowered text, keywords of which each form holds one, SPDX names, path on a web site)
 FAMILIES = {
     "mit": (r"(?:the )?(?:mit|expat)", "mit|expat", r"mit", r"opensource\.org/licenses?/mit"),
@@ -86,6 +92,62 @@ LOOSE = (
 )
 
 
+# The licenses' own texts, titles and headers.  (label, priority, score, keyword, pattern); what is read further has the higher priority.
+BSD = r"redistribution and use in source and binary forms,? with or without modification,? (?:are|is) permitted"
+GRANT = r"permission to use, copy, modify,? and(?:/or|or)? distribute this software"
+FSF = r"(?:(?:licen[cs]ed|released|distributed|published|available|provided|covered) )?(?:under )?(?:the )?(?:terms of )?(?:the )?(?:gnu )?"
+EITHER = r"(?:,? version \d(?:\.\d)?,?)? as published by the free software foundation[;,.:]? (?:either |in )?version "
+TEXTS = (
+    ("mit", 92, 1.0, "free of charge", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mit-0", 94, 1.0, "free of charge", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files[\s\S]{0,400}?furnished to do so\.\W{0,40}the software is provided"),
+    ("boost", 92, 1.0, "free of charge", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("isc", 94, 1.0, "hereby granted", GRANT + r" for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("0bsd", 92, 1.0, "hereby granted", GRANT + r" for any purpose with or without fee is hereby granted\.\W{0,40}the software is provided"),
+    ("hpnd", 92, 0.95, "hereby granted", GRANT + r" and its documentation (?:for any purpose|for any purpose and without fee|for any purpose, without fee|for any purpose, without fee, and without a written agreement) is hereby granted"),
+    ("bsd", 92, 0.95, "redistribution and use", BSD),
+    ("bsd-2", 94, 1.0, "redistribution and use", BSD + r"[\s\S]{0,900}?provided with the distribution[.;]\W{0,40}this software is provided"),
+    ("bsd-3", 94, 1.0, "redistribution and use", BSD + r"[\s\S]{0,1200}?(?:neither the names? of|names? of [^.]{1,200} may not be used to endorse)"),
+    ("bsd-4", 96, 1.0, "redistribution and use", BSD + r"[\s\S]{0,1200}?all advertising materials mentioning features[\s\S]{0,500}?(?:neither the names? of|names? of [^.]{1,200} may not be used to endorse)"),
+    ("apache-2", 92, 1.0, "january 2004", r"apache license,? version 2\.0, january 2004"),
+    ("apache-2", 92, 1.0, "apache", r"licensed to the apache software foundation \(asf\) under one or more contributor license agreements"),
+    ("gpl-2", 92, 1.0, "june 1991", r"gnu general public license,? version 2, june 1991"),
+    ("gpl-3", 92, 1.0, "june 2007", r"gnu general public license,? version 3, 29 june 2007"),
+    ("lgpl-2.1", 92, 1.0, "june 1991", r"gnu library general public license,? version 2, june 1991"),
+    ("lgpl-2.1", 92, 1.0, "february 1999", r"gnu lesser general public license,? version 2\.1, february 1999"),
+    ("lgpl-3", 92, 1.0, "june 2007", r"gnu lesser general public license,? version 3, 29 june 2007"),
+    ("agpl-3", 92, 1.0, "november 2007", r"gnu affero general public license,? version 3, 19 november 2007"),
+    ("fdl", 92, 1.0, "free documentation", r"gnu free documentation license,? version 1\.[123], \d{0,2} ?(?:march|november) \d{4}"),
+    ("fdl", 92, 1.0, "free documentation", r"permission is granted to copy, distribute and/or modify this document under the terms of the gnu free documentation license"),
+    ("gpl-2", 92, 1.0, "free software foundation", FSF + r"general public license" + EITHER + r"2\b"),
+    ("gpl-3", 92, 1.0, "free software foundation", FSF + r"general public license" + EITHER + r"3\b"),
+    ("lgpl-2.1", 92, 1.0, "free software foundation", FSF + r"(?:lesser|library) general public license" + EITHER + r"2(?:\.[01])?\b"),
+    ("lgpl-3", 92, 1.0, "free software foundation", FSF + r"lesser general public license" + EITHER + r"3\b"),
+    ("agpl-3", 92, 1.0, "free software foundation", FSF + r"affero general public license" + EITHER + r"3\b"),
+    ("mpl-2", 92, 1.0, "source code form", r"this source code form is subject to the terms of the mozilla public license, v\. ?2\.0"),
+    ("mpl-1.1", 92, 1.0, "mozilla", r"the contents of this file are subject to the (?:terms of the )?(?:mozilla public license|mpl),? (?:version )?1\.[01]"),
+    ("epl", 92, 1.0, "eclipse", r"the accompanying program is provided under the terms of this eclipse public license"),
+    ("cddl", 92, 1.0, "common development", r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("zlib", 92, 1.0, "held liable", r"this software is provided ['‘\"“`]?as[- ]is['’\"”`]*,? without any express or implied warranty\. in no event will the authors? be held liable for any damages arising from the use of this software"),
+    ("unlicense", 92, 1.0, "unencumbered software", r"this is free and unencumbered software released into the public domain"),
+    ("wtfpl", 92, 1.0, "do what the fuck", r"do what the fuck you want to(?: public license)?"),
+    ("artistic", 92, 1.0, "a package may be copied", r"the intent of this document is to state the conditions under which a package may be copied"),
+    ("artistic", 92, 1.0, "free software package", r"this license establishes the terms under which a given free software package may be copied, modified, distributed, and/or redistributed"),
+    ("cc0", 92, 1.0, "affirmer hereby", r"affirmer hereby overtly, fully, permanently, irrevocably and unconditionally waives"),
+    ("cc0", 92, 1.0, "dedicated the work", r"has dedicated the work to the public domain by waiving all of (?:his or her|their) rights"),
+    ("eupl", 92, 1.0, "european union", r"this european union public licen[cs]e \(the ['‘\"“]?eupl['’\"”]?\) applies to the work"),
+    ("odbl", 92, 1.0, "open database", r"the open database license \(odbl\) is a license agreement intended to allow users"),
+    *(
+        (label, 92, 1.0, "attribution", rf"(?<![a-z]-)(?:(?:creative commons|cc) )?\battribution{rest} \d\.\d (?:international|unported|generic)(?: (?:public )?licen[cs]e)?")
+        for label, rest in (("cc-by-nc-nd", r"[- ]non-?commercial[- ]no ?deriv(?:ative)?s"), ("cc-by-nc-sa", r"[- ]non-?commercial[- ]share ?alike"), ("cc-by-nc", r"[- ]non-?commercial"), ("cc-by-nd", r"[- ]no ?deriv(?:ative)?s"), ("cc-by-sa", r"[- ]share ?alike"), ("cc-by", ""))
+    ),
+)
+
+
+def worded(pattern: str) -> re.Pattern:
+    """The pattern with every space, also those it only allows, standing for any gap between words."""
+    return re.compile(pattern.replace("[- ]", "(?:-| )").replace(" ", GAP))
+
+
 @dataclass(frozen=True)
 class Rule:
     label: str
@@ -99,15 +161,16 @@ class Rule:
 
 def rules() -> list[Rule]:
     """All rules, the first to be tried first; the later families of a kind have the shorter names."""
-    found = [Rule(label, p, s, k, tuple(words.split("|")), re.compile(w.replace("NAME", f"(?:{name})").replace("SPDX", f"(?:{spdx})").replace("PATH", f"(?:{path})"))) for label, (name, words, spdx, path) in FAMILIES.items() for p, s, k, w in WAYS]
-    found += [Rule(label, p, s, k, (), re.compile(w)) for label, p, s, k, w in LOOSE]
+    found = [Rule(label, p, s, k, tuple(words.split("|")), worded(w.replace("NAME", f"(?:{name})").replace("SPDX", f"(?:{spdx})").replace("PATH", f"(?:{path})"))) for label, (name, words, spdx, path) in FAMILIES.items() for p, s, k, w in WAYS]
+    found += [Rule(label, p, s, k, (), worded(w)) for label, p, s, k, w in (*TEXTS, *LOOSE)]
     return sorted(found, key=lambda r: -r.priority)
 
 
 RULES = rules()
 KEYWORDS = frozenset(k for r in RULES for k in (r.keyword, *r.family))
+EVEN = re.compile(GAP)
 #: A text without any of these has no detection.
-ANY_KEYWORD = "licen|spdx|all rights reserved|public domain|proprietary|://|copy of|terms of|(released|distributed|published|available|provided|covered) under"
+ANY_KEYWORD = "|".join(["licen|spdx|all rights reserved|public domain|proprietary|://|copy of|terms of|(released|distributed|published|available|provided|covered) under", *sorted({k for _, _, _, k, _ in TEXTS})]).replace(" ", GAP)
 WORD_BYTE = rb"[0-9a-z\x80-\xff]"
 BETWEEN = rb"[^0-9a-z\x80-\xff]+"
 BASE = {label: re.compile(rb"(?<!" + WORD_BYTE + rb")" + BETWEEN.join(w.encode() for w in phrase.split()) + rb"(?!" + WORD_BYTE + rb")") for phrase, label in PHRASES.items()}
@@ -117,7 +180,8 @@ ANY_PHRASE = "license|by[^0-9a-z]+nc"
 
 def detect(text: str) -> list[tuple[int, int, Rule]]:
     """Detections in a lowered text that no other of at least their priority contains, by start."""
-    present = {k for k in KEYWORDS if k in text}
+    even = EVEN.sub(" ", text)
+    present = {k for k in KEYWORDS if k in even}
     tried = ((n, r) for n, r in enumerate(RULES) if r.keyword in present and (not r.family or not present.isdisjoint(r.family)))
     found = [(m.start(), m.end(), n, r) for n, r in tried for m in r.pattern.finditer(text)]
     # widest first, then highest priority, then rule order: what contains comes before what it contains

@@ -252,6 +252,42 @@ def test_license_rules(text, labels):
     assert {r.label for _, _, r in licenses.detect(text.lower())} == labels
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted"""
+NEITHER = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse products"
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        (MIT + ", subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included", {"mit"}), (MIT + ".\n\nTHE SOFTWARE IS PROVIDED \"AS IS\"", {"mit-0"}),
+        (BSD, {"bsd"}), (BSD + "\nTHIS SOFTWARE IS PROVIDED BY THE AUTHOR", {"bsd-2"}), (BSD + "3. " + NEITHER, {"bsd-3"}), (BSD + "3. All advertising materials mentioning features or use of this software must say so.\n4. " + NEITHER, {"bsd-4"}),
+        (ISC + ", provided that the above\ncopyright notice and this permission notice appear in all copies.", {"isc"}), (ISC + ".\n\nTHE SOFTWARE IS PROVIDED AS IS", {"0bsd"}),
+        ("This is free and unencumbered software released into the public domain.", {"unlicense"}), ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n", {"gpl-2"}),
+        ("/* modify it under the terms of the\n * GNU General Public License\n */", {"gpl"}), ("# under the terms of the GNU Lesser\n# General Public License as published by the Free\n# Software Foundation; either version 2.1 of the License", {"lgpl-2.1"}),
+        ("Attribution-ShareAlike 4.0 International", {"cc-by-sa"}), ("All rights\n// reserved.", {"all-rights-reserved"}), ("released into  the\tpublic\r\ndomain", {"public-domain"}),
+        ("redistribution of wealth and use of forms", set()), ("permission is hereby granted to the visitors, and the tour is free of charge", set()),
+    ],
+)
+def test_license_texts(spark, text, labels):
+    for lines in (text, text.replace("\n", "\n * "), text.replace("\n", "\r\n;; "), text.replace(" ", "  ")):
+        assert {r.label for _, _, r in licenses.detect(lines.lower())} == labels
+    row = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert set(filter(None, row.labels.split(","))) == labels and (row.score > 0) == bool(labels)
+
+
 def test_bpe_codec(docs):
     t = tokenizer("byte_bpe_50k.json")
     want = []
