@@ -3,15 +3,16 @@
 A document's set holds the hashes of its distinct runs of `words` consecutive words.  Two sets with a
 Jaccard similarity of at least the threshold differ in at most D members, where D follows from their
 sizes.  Sets are joined within size bands, so that D is one number for a band: the sketch is a row of
-P = D + 1 + SPARE blocks of BITS bits, and each member flips one bit of one block.  The Hamming
+P = D + 1 + spare blocks of BITS bits, and each member flips one bit of one block.  The Hamming
 distance of two sketches is at most the size of the sets' symmetric difference, so at most D blocks
 differ and at least one is equal in both.  Documents meet on equal blocks (as 64-bit codes of the
 bits set).  Most blocks have one document and are done; those that meet on a block compare a second,
 small parity sketch, and only what its Hamming distance leaves is a candidate.  Candidates are
 clustered, and each cluster's pairs are verified on the sets themselves.
 
-A block with fewer than WEAK members says little.  A set with at most SPARE such blocks leaves them
-out: of the blocks in which a pair agrees, SPARE + 1 at least, one then is kept by both.
+An empty block, or one with a single member, says little.  Each set leaves out its `spare` lightest
+blocks, in the order of (members, number): of the blocks in which a pair agrees, spare + 1 at least,
+the last in that order then is kept by both.  So D + 1 blocks remain, however many are spare.
 
 Equal sets are one class from the start, and only one of them per task enters the join.  Groups of
 more than GROUP documents and clusters of more than CHUNK members' hashes are worked on in pairs of
@@ -36,8 +37,9 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, LOWER, map_arrow, mapped, split_words, steps, stored, text_of, without, wrapped
 from .components import components
 
+#: Blocks beyond D + 1, and one more for so many members of D: some more than a set has empty ones.
 SPARE = 2
-WEAK = 3
+SPARE_OF = 8
 BITS = 1024
 #: Hashes that one verification holds, and documents of one block that one task compares.
 CHUNK = 2_000_000
@@ -110,18 +112,15 @@ def sketch_keys(hashes: np.ndarray, bands: Bands) -> np.ndarray:
     for band in (own, own - 1):
         if band < 0 or (differ := bands.differ(band)) < 1:
             continue  # only equal sets can be similar, and those are one class
-        spare = SPARE if differ >= 4 else 0
+        spare = SPARE + differ // SPARE_OF if differ >= 4 else 1
         blocks = differ + 1 + spare
         block = ((hashes >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)  # rises with the sorted hashes
         first = np.flatnonzero(np.diff(block, prepend=np.uint64(blocks)))
-        code = np.bitwise_xor.reduceat(BIT_CODES[(hashes & np.uint64(BITS - 1)).astype(np.int64)], first)
-        number, size = block[first], np.diff(first, append=len(hashes))
-        weak = size < WEAK
-        if spare and weak.sum() + blocks - len(first) <= spare:
-            code, number = code[~weak], number[~weak]
-        elif len(first) < blocks:
-            absent = np.setdiff1d(np.arange(blocks, dtype=np.uint64), number)
-            code, number = np.concatenate([code, np.zeros(len(absent), np.uint64)]), np.concatenate([number, absent])
+        absent = np.setdiff1d(np.arange(blocks, dtype=np.uint64), block[first])
+        code = np.concatenate([np.bitwise_xor.reduceat(BIT_CODES[(hashes & np.uint64(BITS - 1)).astype(np.int64)], first), np.zeros(len(absent), np.uint64)])
+        number, size = np.concatenate([block[first], absent]), np.concatenate([np.diff(first, append=len(hashes)), np.zeros(len(absent), np.int64)])
+        kept = np.lexsort((number, size))[spare:]
+        code, number = code[kept], number[kept]
         place = np.uint64((blocks * (1 << 32) + band * 0x9E3779B97F4A7C15) % (1 << 64))
         out.append(mix(code ^ mix(number + place)))
     return np.concatenate(out) if out else hashes[:0]

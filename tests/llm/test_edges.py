@@ -7,6 +7,7 @@ import struct
 import unicodedata
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from brute import brute_secrets, decontaminated, groups, key, masked, sha, tokenizer, words_of
@@ -208,6 +209,23 @@ def test_jaccard_join_of_chains_and_edits(spark, words, percent, seed):
     assert key(near_dup.near_duplicates(df, words, percent).collect()) == key(want)
 
 
+def test_jaccard_blocks_of_unrelated_sets():
+    """Sets without a common member hardly meet on any block, and all pairs at the threshold do."""
+    r = np.random.default_rng(7)
+    bands = near_dup.Bands(80)
+    for n in (60, 400):
+        drawn = [np.unique(r.integers(0, 2**64, n, np.uint64)) for _ in range(1500)]
+        _, times = np.unique(np.concatenate([np.unique(near_dup.sketch_keys(x, bands)) for x in drawn]), return_counts=True)
+        assert (times * (times - 1) // 2).sum() < 1500 * 20
+    for n in (8, 12, 25, 60, 150, 400):
+        for _ in range(100):
+            both = r.integers(0, 2**64, n, np.uint64)
+            apart = r.integers(0, 2**64, n // 4, np.uint64)
+            at = r.integers(0, len(apart) + 1)
+            a, b = (np.unique(np.concatenate([both, x])) for x in (apart[:at], apart[at:]))
+            assert len(np.intersect1d(near_dup.sketch_keys(a, bands), near_dup.sketch_keys(b, bands)))
+
+
 def test_jaccard_join_in_small_chunks(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "CHUNK", 300)
     r = random.Random(4)
