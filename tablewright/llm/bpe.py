@@ -31,9 +31,11 @@ BORDER = re.compile(f"(?<=[^{SPACE}])(?= [^{SPACE}])")
 UNEVEN = f"(^[ \n])|([ \n]$)|([ \n][{SPACE}])|([{SPACE}][ \n])"
 #: A word of letters whose pieces are plain: a line end, the word, and the marks after it.
 PLAIN = re.compile("(\n)?( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@[-`{-~]*)")
+#: Such a word behind a space or a line end, for whole columns.
+PLAIN_BEGUN = "^(\n ?| )[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+[!-&(-/:-@\\[-`{-~]*$"
 #: Words kept between batches; beyond that the store starts anew.
-STORE_WORDS = 600_000
-STORE_IDS = 6_000_000
+STORE_WORDS = 250_000
+STORE_IDS = 3_000_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -234,6 +236,8 @@ class Words:
 
             with open(ranks, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.bytes_of_rank = np.zeros(1 + max(table.values()), np.int64)
+            self.bytes_of_rank[list(table.values())] = [len(t) for t in table]
             self.ranked = tiktoken.Encoding("ranked", pat_str=r" ?\p{L}+| ?[^\s\p{L}\p{N}]+|\s", mergeable_ranks=table, special_tokens={})
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
@@ -269,20 +273,7 @@ class Words:
 
     def add(self, words) -> None:
         """Encode the words that are new."""
-        new: dict[str, list] = {}
-        if self.ranked is not None:
-            encode = self.ranked.encode_ordinary
-            for w in words:
-                if w not in self.code:
-                    if PLAIN.fullmatch(w):
-                        self.code[w] = len(self.start)
-                        self.start.append(len(self.ids))
-                        self.ids.extend(ids := encode(w))
-                        self.length.append(len(ids))
-                    else:
-                        new[w] = self.pieces(w)
-        else:
-            new = {w: self.pieces(w) for w in words if w not in self.code}
+        new: dict[str, list] = {w: self.pieces(w) for w in words if w not in self.code}
         if not new:
             return
         gc.disable()  # hundreds of thousands of lists live until the end of this call
@@ -301,7 +292,7 @@ class Words:
 
     def codes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The words of all texts as places in the store, and where each text's words begin (one more than texts)."""
-        if len(self.code) > STORE_WORDS or len(self.ids) > STORE_IDS:
+        if len(self.start) > STORE_WORDS or len(self.ids) > STORE_IDS:
             self.clear()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if self.spaced:
@@ -315,15 +306,33 @@ class Words:
         if at.null_count:
             missing = flat.filter(at.is_null())
             new = missing.unique()
-            words = [w if w[:1] == "\n" else " " + w for w in new.to_pylist()] if self.spaced else new.to_pylist()
-            self.add(words)
+            words = pc.binary_join_element_wise(pc.if_else(pc.starts_with(new, "\n"), pa.scalar("", new.type), pa.scalar(" ", new.type)), new, pa.scalar("", new.type)) if self.spaced else new
             self.known = pa.concat_arrays([self.known, new])
-            self.known_codes = np.concatenate([self.known_codes, np.fromiter((self.code[w] for w in words), np.int64, len(words))])
+            self.known_codes = np.concatenate([self.known_codes, self._added(words)])
             out = np.asarray(pc.fill_null(at, 0), np.int64)
             out[np.asarray(at.is_null())] = np.asarray(pc.index_in(missing, value_set=new), np.int64) + (len(self.known) - len(new))
             at = out
         return self.known_codes[np.asarray(at, np.int64)] if len(flat) else np.zeros(0, np.int64)
 
+    def _added(self, words: pa.Array) -> np.ndarray:
+        """Places of new, distinct words in the store; with ranks, all plain ones are merged in one call."""
+        codes, ranked = np.empty(len(words), np.int64), np.zeros(len(words), bool)
+        if self.ranked is not None and self.spaced:
+            ranked = np.asarray(pc.match_substring_regex(words, PLAIN_BEGUN))
+            plain = words.filter(pa.array(ranked))
+            ids = np.array(self.ranked.encode_ordinary("".join(plain.to_pylist())), np.int32)
+            # a word's tokens are those whose bytes end with its own
+            ends = np.searchsorted(np.cumsum(self.bytes_of_rank[ids]), np.cumsum(np.asarray(pc.binary_length(plain), np.int64)), "left") + 1
+            starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+            codes[ranked] = len(self.start) + np.arange(len(plain))
+            self.start.frombytes((starts + len(self.ids)).astype(np.int64).tobytes())
+            self.length.frombytes((ends - starts).astype(np.int64).tobytes())
+            self.ids.frombytes(ids.tobytes())
+        rest = words.filter(pa.array(~ranked)).to_pylist()
+        self.add(rest)
+        codes[~ranked] = [self.code[w] for w in rest]
+        return codes
+
     def _spaced(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         uneven = np.asarray(pc.match_substring_regex(texts, UNEVEN))
         even = pc.replace_substring(texts.filter(pa.array(~uneven)), "\n", " \n")
@@ -351,16 +360,16 @@ class Words:
     def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of each word, and where each text's words begin."""
         codes, ends = self.codes(texts)
-        return np.array(self.length, np.int64)[codes], ends
+        return np.frombuffer(self.length, np.int64)[codes], ends
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text's ids begin (one more than texts)."""
         codes, ends = self.codes(texts)
-        start, length = np.array(self.start, np.int64)[codes], np.array(self.length, np.int64)[codes]
+        start, length = np.frombuffer(self.start, np.int64)[codes], np.frombuffer(self.length, np.int64)[codes]
         after = np.cumsum(length)
         total = int(after[-1]) if len(after) else 0
         at = np.repeat(start - (after - length), length) + np.arange(total)
-        return np.array(self.ids, np.int32)[at], np.concatenate([[0], after])[ends]
+        return np.frombuffer(self.ids, np.int32)[at], np.concatenate([[0], after])[ends]
 
 
 def _offsets(lists: pa.Array) -> np.ndarray:
