@@ -12,7 +12,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled by one step inside a task, so that temporary arrays stay small however large a batch is.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
+#: Bytes of one batch on its way to Python, unless one row has more; Spark's own bound is 64 MB.
+BATCH_BYTES = 1 << 20
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Spark removes a job's shuffle files with the job, not when the driver happens to collect its garbage.
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The same rows; where the session names no bound of its own, batches to Python get BATCH_BYTES at most."""
+    if BATCH_KEY not in df.sparkSession.conf.getAll:
+        df.sparkSession.conf.set(BATCH_KEY, str(BATCH_BYTES))
+    return df
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,8 +47,13 @@ def scratch(spark: SparkSession, kind: str) -> str:
 
 def stored(df: DataFrame, kind: str, path: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, and any executor may be lost."""
-    path = path or scratch(df.sparkSession, kind)
-    df.write.mode("overwrite").parquet(path)
+    path, conf = path or scratch(df.sparkSession, kind), df.sparkSession.conf
+    before = conf.getAll.get(CLEANUP_KEY)
+    conf.set(CLEANUP_KEY, "true")
+    try:
+        bounded(df).write.mode("overwrite").parquet(path)
+    finally:
+        conf.set(CLEANUP_KEY, before) if before is not None else conf.unset(CLEANUP_KEY)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -84,7 +101,7 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
             if out.num_rows:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)
 
 
 def letters_only(keep_digits: bool = True) -> bytes:

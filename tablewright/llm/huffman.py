@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import words_of
-from .common import scratch, steps, text_of
+from .common import bounded, scratch, steps, text_of
 
 LIMIT = 20
 LANE = 256
 #: Ids of one block, unless one document has more.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -136,7 +136,7 @@ def encoded(docs: DataFrame, vocabulary: str, ranks: str | None, end_id: int, id
             seq += n
 
     ordered = rows.repartitionByRange("id", "th").sortWithinPartitions("id", "th")
-    return ordered.mapInArrow(run, f"seq long, id {kind}, n long, ids binary").withColumn("part", F.spark_partition_id())
+    return bounded(ordered).mapInArrow(run, f"seq long, id {kind}, n long, ids binary").withColumn("part", F.spark_partition_id())
 
 
 def flat_ids(column: pa.Array, wide: bool) -> np.ndarray:
@@ -188,7 +188,9 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, ranks: str | None = N
                 start = stop
 
     schema = f"part int, block long, docs array<{kind}>, sizes array<long>, n long, lanes array<long>, payload binary"
-    tokens.select("part", "seq", "id", "n", "ids").mapInArrow(blocks, schema).write.parquet(f"{path}/blocks")
+    # blocks take a fraction of the ids' room, so a file holds several parts
+    packed = tokens.select("part", "seq", "id", "n", "ids")
+    packed.coalesce(max(1, packed.rdd.getNumPartitions() // 4)).mapInArrow(blocks, schema).write.parquet(f"{path}/blocks")
 
 
 def read_ids(spark: SparkSession, path: str, id_column: str = "doc_id", ids: bool = False) -> DataFrame:
@@ -221,7 +223,7 @@ def read_ids(spark: SparkSession, path: str, id_column: str = "doc_id", ids: boo
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     schema = f"part int, block long, before long, id {kind}, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids
-    rows = files.select("part", "block", "docs", "sizes", "lanes", "payload").mapInArrow(run, schema)
+    rows = bounded(files).select("part", "block", "docs", "sizes", "lanes", "payload").mapInArrow(run, schema)
     # sums over parts (one row for each written file), then over the blocks of a part
     index = files.select("part", "block", "n")
     parts = index.groupBy("part").agg(F.sum("n").alias("total"))

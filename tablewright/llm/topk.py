@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, stored
+from .common import bounded, scratch, stored
 
 SHARD = 4096
 TILE = 1024
@@ -66,7 +66,7 @@ def tiles(vectors: DataFrame, rows: int, scale: int) -> DataFrame:
         for dim in list(held):
             yield out(dim)
 
-    return vectors.select("vec_id", "v").mapInArrow(pack, TILES)
+    return bounded(vectors).select("vec_id", "v").mapInArrow(pack, TILES)
 
 
 def products(queries: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, bool]:

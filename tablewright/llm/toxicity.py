@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import letters_only, map_arrow, mapped, split_words, stored, text_of
+from .common import bounded, letters_only, map_arrow, mapped, split_words, steps, stored, text_of
 
 # Sets of identity terms; a term is swapped for the next of its set.
 IDENTITY = (
@@ -217,10 +217,9 @@ def keep_clean(docs: DataFrame, model: Model, text_column: str = "text") -> Data
 
     def run(batches):
         for b in batches:
-            for at in range(0, len(b), 1000):
-                part = b.slice(at, 1000)
+            for part in steps(b, text_column):
                 clean = part.filter(pa.array(model.scores(pc.fill_null(part.column(text_column), "")) < 0.5))
                 if len(clean):
                     yield clean
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
