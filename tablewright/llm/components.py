@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from .common import discard, scratch, stored
 
+#: Links of one file of a round; small rounds write few files.
+FILE_EDGES = 500_000
+
 
 def large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -30,14 +33,15 @@ def components(links: DataFrame) -> DataFrame:
     spark = links.sparkSession
     path = scratch(spark, "stars")
     edges = stored(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), "stars", path)
-    mark = None
+    mark, files = None, 0
     while True:
         after = scratch(spark, "stars")
-        changed = stored(small_star(large_star(edges).filter("u != v").distinct()).filter("u != v").distinct(), "stars", after)
+        changed = small_star(large_star(edges).filter("u != v").distinct()).filter("u != v").distinct()
+        changed = stored(changed.coalesce(files) if files else changed, "stars", after)
         now = changed.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         discard(spark, path)
         edges, path = changed, after
         if now == mark:
             break
-        mark = now
+        mark, files = now, max(2 * spark.sparkContext.defaultParallelism, now[0] // FILE_EDGES)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, LOWER, map_arrow, mapped, split_words, steps, stored, text_of, without, wrapped
+from .common import BROADCAST_ROWS, LOWER, discard, map_arrow, mapped, scratch, split_words, steps, stored, text_of, without, wrapped
 from .components import components
 
 #: Blocks beyond D + 1, and one more for so many members of D: some more than a set has empty ones.
@@ -177,14 +177,17 @@ def shared_blocks(sets: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(gid, sizes)[at]), pa.array(np.repeat(sizes, sizes)[at]), pa.array(nodes[at])], ["gid", "size", "node"])
 
     def groups(batches):
-        keys = nodes = np.zeros(0, np.int64)
-        for b in batches:
-            keys, nodes = np.concatenate([keys, np.asarray(b.column("key"))]), np.concatenate([nodes, np.asarray(b.column("node"))])
-            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last block may go on in the next batch
-            if cut:
-                yield several(keys[:cut], nodes[:cut])
-                keys, nodes = keys[cut:], nodes[cut:]
-        yield several(keys, nodes)
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # rows whose last block may go on in the next batch
+        for b in (b for b in batches if len(b)):
+            keys, nodes = np.asarray(b.column("key")), np.asarray(b.column("node"))
+            cut = int(np.searchsorted(keys, keys[-1]))
+            if cut or held and held[-1][0][-1] != keys[0]:
+                held.append((keys[:cut], nodes[:cut]))
+                yield several(*map(np.concatenate, zip(*held, strict=True)))
+                held = []
+            held.append((keys[cut:], nodes[cut:]))
+        if held:
+            yield several(*map(np.concatenate, zip(*held, strict=True)))
 
     rows = sets.filter(F.col("keys").isNotNull()).select("node", "keys").mapInArrow(spread, "key long, node long")
     return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(groups, "gid long, size long, node long").distinct()
@@ -255,7 +258,7 @@ def linked(pairs: DataFrame, key: str, compare) -> DataFrame:
 def block_edges(sets: DataFrame, percent: int) -> DataFrame:
     """(u, v): for each block, a forest over its classes of what may be similar."""
     sketches = sets.filter(F.col("bits").isNotNull()).select("node", "n", "bits").dropDuplicates(["node"])
-    rows = shared_blocks(sets).join(sketches, "node").withColumn("chunks", F.ceil(F.col("size") / GROUP).cast("int"))
+    rows = stored(shared_blocks(sets), "blocks").join(sketches, "node").withColumn("chunks", F.ceil(F.col("size") / GROUP).cast("int"))
     return linked(in_pairs_of_chunks(rows, "gid", ["node", "n", "bits"]), "gid", lambda members, split: close(members, percent, split)).distinct()
 
 
@@ -325,8 +328,12 @@ def true_links(docs: DataFrame, sets: DataFrame, clusters: DataFrame, words: int
 
 def grouped(docs: DataFrame, words: int, percent: int, id_column: str) -> DataFrame:
     """(id, th, n, root) for each row: its component's class, null for an empty set."""
-    sets = stored(sketched(docs, words, percent, id_column), "sets")
-    edges = stored(block_edges(sets, percent), "edges")
+    spark = docs.sparkSession
+    wide_at, sets_at = scratch(spark, "sketches"), scratch(spark, "sets")
+    wide = stored(sketched(docs, words, percent, id_column), "sketches", wide_at)
+    edges = stored(block_edges(wide, percent), "edges")
+    sets = stored(wide.select("id", "th", "n", "node"), "sets", sets_at)
+    discard(spark, wide_at)  # the sketches are most of what has been written
     links = stored(true_links(docs, sets, components(edges), words, percent, id_column), "links")
     return sets.select("id", "th", "n", "node").join(components(links), "node", "left").select("id", "th", "n", F.coalesce("root", "node").alias("root"))
 
