@@ -1,9 +1,11 @@
-"""Secret scans over an incremental ledger of blobs.
+"""Secret scans over an incremental ledger of blobs and rule versions.
 
-Every version of every text is addressed by its SHA-256.  The ledger, a Parquet table partitioned by
-rule version, holds one row for each blob that has been scanned under that version, with or without
-findings.  A scan takes the blobs that the ledger lacks, each once however many rows hold it, adds
-what it finds, and joins the ledger back to every row.  All of it is DataFrame work.
+Every version of every text is addressed by its SHA-256, and every rule by its kind and a digest of
+what it says, so a changed rule is a new version without anybody's care.  The ledger, a Parquet
+table, holds for each scanned blob which rule versions went over it and what they found.  A scan
+takes the pairs of blob and rule version that the ledger lacks, each blob once however many rows hold
+it and under the missing rules alone, adds what it finds, and joins the ledger back to every row.  All
+of it is DataFrame work.
 
 A null text is an empty blob without findings.  Repeated rows give repeated results, an empty table
 an empty one; columns beside the id and the text are never read.  Spans are code points, end
@@ -12,6 +14,7 @@ exclusive.  Matches of one kind are leftmost and don't overlap; kinds may overla
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,6 +35,10 @@ class Rule:
     group: int = 0
     least: int = 1
 
+    @property
+    def version(self) -> str:
+        return f"{self.kind}-{hashlib.sha256(repr((self.pattern, self.literal, self.group, self.least)).encode()).hexdigest()[:16]}"
+
 
 # Kinds and patterns of the base rules, in the order in which equal starts are listed.
 # AKIA and hex runs are maximal, so a lower bound in the pattern drops what a later test would drop.
@@ -48,8 +55,6 @@ MORE = (
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", "xox"),
 )
 RULES = BASE + MORE
-#: Goes up with every change of a rule, so that old blobs are scanned again.
-VERSION = "1"
 
 SPAN = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("rule", "nth", "gap", "size", "kept")]))
 
@@ -69,51 +74,62 @@ def _matches(text: Column, at: int, rule: Rule) -> Column:
     return F.when(test, each.cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
-def find(blobs: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = len(BASE)) -> DataFrame:
-    """(blob, text) with distinct blobs to (blob, n_<base kind>..., base_sha256, spans), also where nothing is found."""
-    names = F.array(*[F.lit(r.kind) for r in rules])
-    found = blobs.select("blob", F.explode_outer(F.concat(*[_matches(F.col("text"), i, r) for i, r in enumerate(rules)])).alias("x")).select("blob", "x.*")
+def find(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, text, rules) with distinct blobs to (blob, rules, spans): what the listed rule versions find, also where that is nothing."""
+    versions = F.array(*[F.lit(r.version) for r in rules])
+    matches = [F.when(F.array_contains("rules", r.version), _matches(F.col("text"), i, r)).otherwise(F.array().cast(SPAN)) for i, r in enumerate(rules)]
+    found = blobs.select("blob", "rules", F.explode_outer(F.concat(*matches)).alias("x")).select("blob", "rules", "x.*")
     end = F.sum(F.col("gap").cast("long") + F.col("size")).over(Window.partitionBy("blob", "rule").orderBy("nth"))
     spans = found.withColumn("end", end).withColumn("start", F.col("end") - F.col("size"))
-    spans = spans.withColumn("span", F.when(F.col("kept") == 1, F.struct("start", "rule", "end")))
-    listed = spans.groupBy("blob").agg(
-        *[F.count_if((F.col("rule") == i) & (F.col("kept") == 1)).alias(f"n_{r.kind}") for i, r in enumerate(rules[:base])],
-        F.array_sort(F.collect_list("span")).alias("all"),
-    )
-    joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", F.get(names, x["rule"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
-    return listed.select(
+    span = F.when(F.col("kept") == 1, F.struct(F.get(versions, F.col("rule")).alias("rule"), "start", "end"))
+    return spans.groupBy("blob", "rules").agg(F.collect_list(span).alias("spans"))
+
+
+def listed(ledger: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = len(BASE)) -> DataFrame:
+    """(blob, n_<base kind>..., base_sha256, spans): what the ledger has of these rules, as one row a blob."""
+    versions, kinds = F.array(*[F.lit(r.version) for r in rules]), F.array(*[F.lit(r.kind) for r in rules])
+    spans = F.filter(F.flatten(F.collect_list("spans")), lambda x: F.array_contains(versions, x["rule"]))
+    at = lambda x: (F.array_position(versions, x["rule"]) - 1).cast("int")
+    whole = ledger.filter(F.arrays_overlap("rules", versions)).groupBy("blob").agg(F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), at(x).alias("rule"), x["end"].alias("end")))).alias("all"))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", F.get(kinds, x["rule"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return whole.select(
         "blob",
-        *[f"n_{r.kind}" for r in rules[:base]],
+        *[F.size(F.filter("all", lambda x, i=i: x["rule"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(rules[:base])],
         F.sha2(joined(F.filter("all", lambda x: x["rule"] < base)), 256).alias("base_sha256"),
         joined(F.col("all")).alias("spans"),
     )
 
 
-def scan(docs: DataFrame, ledger: str | None = None, version: str = VERSION, id_column: str = "doc_id") -> DataFrame:
-    """Findings of every row; the ledger at that path (a new one if none is given) gains the blobs it lacked.
+def scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, base: int = len(BASE), id_column: str = "doc_id") -> DataFrame:
+    """Findings of every row; the ledger at that path (a new one if none is given) gains the pairs of blob and rule it lacked.
 
-    Only one scan may write a ledger at a time.  A scan that fails leaves no part of its rows.
+    The first `base` rules are counted one by one.  Only one scan may write a ledger at a time.  A scan that fails
+    leaves no part of its rows.
     """
     rows = docs.select(F.col(id_column), text_of().alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
-    return rows.select(id_column, "blob").join(updated(rows, ledger, version), "blob").drop("blob")
+    return rows.select(id_column, "blob").join(updated(rows, ledger, rules, base), "blob").drop("blob")
 
 
-def updated(rows: DataFrame, ledger: str | None, version: str) -> DataFrame:
+def updated(rows: DataFrame, ledger: str | None, rules: tuple[Rule, ...] = RULES, base: int = len(BASE)) -> DataFrame:
     """The ledger's findings after it has taken in all (blob, text) of the rows."""
     ledger = ledger or scratch(rows.sparkSession, "ledger")
+    versions = F.array(*[F.lit(r.version) for r in rules])
     blobs = rows.select("blob", "text")
-    if (known := _seen(rows, ledger, version)) is not None:
-        blobs = blobs.join(known.select("blob"), "blob", "left_anti")
-    fresh = find(blobs.groupBy("blob").agg(F.any_value("text").alias("text")))
-    fresh.withColumn("rules", F.lit(version)).write.mode("append").partitionBy("rules").parquet(ledger)
-    return _seen(rows, ledger, version)
+    if (known := _seen(rows, ledger)) is not None:
+        done = known.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("done"))
+        blobs = blobs.join(done, "blob", "left").withColumn("rules", F.array_except(versions, F.coalesce("done", F.array().cast("array<string>"))))
+        fresh = blobs.filter(F.size("rules") > 0).groupBy("blob").agg(F.any_value("text").alias("text"), F.any_value("rules").alias("rules"))
+    else:
+        fresh = blobs.groupBy("blob").agg(F.any_value("text").alias("text")).withColumn("rules", versions)
+    find(fresh, rules).write.mode("append").parquet(ledger)
+    return listed(_seen(rows, ledger), rules, base)
 
 
-def redact(docs: DataFrame, ledger: str | None = None, version: str = VERSION, mask: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]") -> DataFrame:
     """All rows and columns, with every span found in `text` replaced by the mask (overlapping spans by one)."""
     # the rows' own columns stay in one struct, so that their names can be any
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_of().alias("body")).withColumn("blob", F.unhex(F.sha2("body", 256)))
-    found = updated(rows.select("blob", F.col("body").alias("text")), ledger, version).filter("spans != ''")
+    found = updated(rows.select("blob", F.col("body").alias("text")), ledger, rules).filter("spans != ''")
     part = lambda x, i: F.element_at(F.split(x, ":"), i).cast("int")
     spans = F.transform(F.split("spans", ","), lambda x: F.struct(part(x, 2).alias("a"), part(x, 3).alias("z")))  # by start
     # a span that begins inside an earlier one has no gap before it and adds no mask of its own
@@ -126,13 +142,13 @@ def redact(docs: DataFrame, ledger: str | None = None, version: str = VERSION, m
     return out.select(*[(F.col("masked") if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
-def _seen(docs: DataFrame, ledger: str, version: str) -> DataFrame | None:
+def _seen(docs: DataFrame, ledger: str) -> DataFrame | None:
     try:
-        return docs.sparkSession.read.schema(SEEN).parquet(ledger).filter(F.col("rules") == version).drop("rules")
+        return docs.sparkSession.read.schema(SEEN).parquet(ledger)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             return None
         raise
 
 
-SEEN = "blob binary, " + ", ".join(f"n_{r.kind} long" for r in BASE) + ", base_sha256 string, spans string, rules string"
+SEEN = "blob binary, rules array<string>, spans array<struct<rule:string,start:bigint,end:bigint>>"

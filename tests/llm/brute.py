@@ -78,6 +78,20 @@ def groups(rows, words, percent):
     return [(d, len(s), least.get(find(i)) if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))], [find(i) for i in range(len(rows))]
 
 
+MORE_SECRETS = {
+    "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "jwt": r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
+    "forge": r"gh[pousr]_[A-Za-z0-9]{36,}",
+    "chat": r"xox[abprs]-[A-Za-z0-9-]{10,}",
+}
+
+
+def more_secrets(text):
+    """Base spans and those of the kinds the method adds, by start and kind."""
+    found = brute_secrets(text) + [(m.start(), 3 + n, kind, m.end()) for n, (kind, pattern) in enumerate(MORE_SECRETS.items()) for m in re.finditer(pattern, text)]
+    return sorted(found)
+
+
 def brute_secrets(text):
     """Base spans by the contract's words."""
     flags = {"assign": re.I | re.A}
