@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
-from .common import scratch, text_of
+from .common import scratch, stored, text_of
 
 
 @dataclass(frozen=True)
@@ -56,6 +56,8 @@ MORE = (
 )
 RULES = BASE + MORE
 
+#: Blobs with findings that may be sent to every executor, some 200 bytes each; more are joined by a shuffle.
+BROADCAST_FOUND = 50_000
 SPAN = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("rule", "nth", "gap", "size", "kept")]))
 
 
@@ -91,10 +93,11 @@ def listed(ledger: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = len(B
     spans = F.filter(F.flatten(F.collect_list("spans")), lambda x: F.array_contains(versions, x["rule"]))
     at = lambda x: (F.array_position(versions, x["rule"]) - 1).cast("int")
     whole = ledger.filter(F.arrays_overlap("rules", versions)).groupBy("blob").agg(F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), at(x).alias("rule"), x["end"].alias("end")))).alias("all"))
+    count = lambda rule: F.size(F.filter("all", lambda x: x["rule"] == rule))
     joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", F.get(kinds, x["rule"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
     return whole.select(
         "blob",
-        *[F.size(F.filter("all", lambda x, i=i: x["rule"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(rules[:base])],
+        *[count(i).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(rules[:base])],
         F.sha2(joined(F.filter("all", lambda x: x["rule"] < base)), 256).alias("base_sha256"),
         joined(F.col("all")).alias("spans"),
     )
@@ -107,7 +110,13 @@ def scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = R
     leaves no part of its rows.
     """
     rows = docs.select(F.col(id_column), text_of().alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
-    return rows.select(id_column, "blob").join(updated(rows, ledger, rules, base), "blob").drop("blob")
+    found = updated(rows, ledger, rules, base)
+    # most blobs have no finding, so only the others travel to the rows; copies of one text may be very many
+    some = stored(found.filter("spans != ''").withColumnRenamed("blob", "found"), "found")
+    some = F.broadcast(some) if some.limit(BROADCAST_FOUND + 1).count() <= BROADCAST_FOUND else some
+    none = {"base_sha256": F.sha2(F.lit(""), 256), "spans": F.lit("")} | {f"n_{r.kind}": F.lit(0).cast("long") for r in rules[:base]}
+    joined = rows.select(id_column, "blob").join(some, F.col("blob") == F.col("found"), "left")
+    return joined.select(id_column, *[F.coalesce(c, none[c]).alias(c) for c in found.columns if c != "blob"])
 
 
 def updated(rows: DataFrame, ledger: str | None, rules: tuple[Rule, ...] = RULES, base: int = len(BASE)) -> DataFrame:

@@ -346,6 +346,12 @@ def test_secrets(docs):
     assert secrets.scan(empty(docs)).collect() == []
 
 
+def test_secrets_joined_by_a_shuffle(docs, monkeypatch):
+    want = key(secrets.scan(docs).collect())
+    monkeypatch.setattr(secrets, "BROADCAST_FOUND", 0)
+    assert key(secrets.scan(docs).collect()) == want
+
+
 def test_secret_ledger_scans_only_new_blobs(spark, docs):
     ledger = scratch(spark, "ledger")
     first = key(secrets.scan(docs, ledger).collect())
