@@ -65,6 +65,55 @@ def join_candidates(columns: DataFrame, declared: list[tuple[str, str]] = ()) ->
     return pairs.select("left_table", "left_column", "right_table", "right_column", F.when(stated, 1.0).otherwise(0.75).alias("confidence"))
 
 
+# Confidence of a join that is guessed from names.
+DECLARED, PRIMARY, SAME_NAME, SAME_KEY = 1.0, 0.9, 0.75, 0.65
+
+
+def graded_candidates(columns: DataFrame, primary: list[tuple[str, str]], declared: list[tuple[str, str]] = ()) -> DataFrame:
+    """Pairs of columns of two tables with one key, where it looks like a key or either is primary, and how sure that is.
+
+    columns: table_name, column_name, key.  primary: (table, column); declared: ("table.column", "table.column").
+    """
+    spark = columns.sparkSession
+    keys = spark.createDataFrame(list(primary), "table_name string, column_name string").withColumn("primary", F.lit(True))
+    known = columns.join(F.broadcast(keys), ["table_name", "column_name"], "left").withColumn("primary", F.coalesce("primary", F.lit(False))).filter("key != ''")
+    side = lambda s: known.select(F.col("table_name").alias(f"{s}_table"), F.col("column_name").alias(f"{s}_column"), "key", F.col("primary").alias(f"{s}_primary"))
+    ends = F.array_sort(F.array(F.concat_ws(".", "left_table", "left_column"), F.concat_ws(".", "right_table", "right_column")))
+    pairs = side("left").join(side("right"), "key").filter("left_table < right_table").select(F.get(ends, F.lit(0)).alias("left"), F.get(ends, F.lit(1)).alias("right"), "key", "left_column", "right_column", (F.col("left_primary") | F.col("right_primary")).alias("primary"))
+    guessed = pairs.filter(F.col("primary") | F.col("key").rlike("(id|code|no|key)$")).select("left", "right", F.when(F.col("primary"), PRIMARY).when(F.lower("left_column") == F.lower("right_column"), SAME_NAME).otherwise(SAME_KEY).alias("confidence"))
+    stated = spark.createDataFrame([(*sorted(p), DECLARED) for p in declared], "left string, right string, confidence double")
+    return guessed.unionByName(stated).groupBy("left", "right").agg(F.max("confidence").alias("confidence"))
+
+
+def ddl(columns: DataFrame) -> DataFrame:
+    """(table_name, ddl) from (table_name, nth, column_name, type): each table's definition as text."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("nth", "column_name", "type"))), lambda x: F.concat(F.lit("  "), x["column_name"], F.lit(" "), x["type"]))
+    return columns.groupBy("table_name").agg(F.concat(F.lit("CREATE TABLE "), F.first("table_name"), F.lit(" (\n"), F.array_join(lines, ",\n"), F.lit("\n)")).alias("ddl"))
+
+
+def schema_rows(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, nth, column_name, type) of all columns."""
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame([(t, i, f.name, f.dataType.simpleString()) for t, df in tables.items() for i, f in enumerate(df.schema)], "table_name string, nth int, column_name string, type string")
+
+
+def known_values(probes: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """Probes (table_name, column_name, value) that some row of the column equals, null included.
+
+    All probes of a table are looked up in one pass; they are what a plan names, so they are few and go to every executor.
+    """
+    found = None
+    for name, df in tables.items():
+        asked = F.broadcast(probes.filter(F.col("table_name") == name))
+        columns = [r[0] for r in asked.select("column_name").distinct().collect() if r[0] in df.columns]
+        if not columns:
+            continue
+        values = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("string").alias("v")) for c in columns])))
+        hit = values.join(asked, (F.col("c") == F.col("column_name")) & F.col("v").eqNullSafe(F.col("value"))).select("table_name", "column_name", "value").distinct()
+        found = hit if found is None else found.unionByName(hit)
+    return found if found is not None else probes.limit(0)
+
+
 def overlap(left: DataFrame, left_column: str, right: DataFrame, right_column: str) -> DataFrame:
     """How two columns' values meet: common values, shares of either side, Jaccard, and the cardinality the values allow."""
     a = left.filter(F.col(left_column).isNotNull()).groupBy(F.col(left_column).alias("v")).agg(F.count("*").alias("a"))

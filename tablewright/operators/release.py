@@ -101,3 +101,13 @@ def review_counts(df: DataFrame, by: str, state: str) -> DataFrame:
 def cost(tokens_in: Column, tokens_out: Column, price_in: float, price_out: float) -> Column:
     """Prices are for a million tokens."""
     return F.round((tokens_in * price_in + tokens_out * price_out) / 1e6, 8)
+
+
+def backfilled(tasks: DataFrame, feedback: DataFrame, key: str, value: str, missing: str) -> DataFrame:
+    """Every task with the last of its feedback in text order, or `missing`, and how much of it there is."""
+    return tasks.join(feedback, key, "left").groupBy(key).agg(F.coalesce(F.max(value), F.lit(missing)).alias(value), F.count(value).alias("n"))
+
+
+def observed(observations: DataFrame, deployments: DataFrame, key: str) -> DataFrame:
+    """Observations of deployments that there are, with what is known of them."""
+    return observations.join(deployments, key)

@@ -581,3 +581,6 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES["flagship"] = flagship
 ORACLE_SQL["flagship"] = "SELECT o_orderpriority, COUNT(DISTINCT o_orderkey) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3"
+
+# They register themselves.
+from . import more_queries  # noqa: E402, F401

@@ -30,7 +30,11 @@ def read_pages(spark: SparkSession, pattern: str) -> DataFrame:
 
     title: from the front matter; planning: what stands between the planning marks, if anything.
     """
-    pages = spark.read.option("wholetext", True).text(pattern).select(F.col("_metadata.file_path").alias("path"), "value")
+    return chunked_pages(spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def chunked_pages(pages: DataFrame) -> DataFrame:
+    """As read_pages, for pages that are rows (path, value)."""
     front = r"(?s)^---\n(.*?)\n---\n"
     body = F.regexp_replace("value", front, "")
     chunks = F.filter(F.split(body, r"(?m)^(?=#{1,6} )"), lambda c: F.length(F.trim(c)) > 0)
@@ -43,6 +47,31 @@ def read_pages(spark: SparkSession, pattern: str) -> DataFrame:
     return out.select("path", "title", "planning", "nth", F.regexp_extract("chunk", r"^#{1,6} ([^\n]*)", 1).alias("heading"), F.trim(F.regexp_replace("chunk", r"^#{1,6} [^\n]*\n?", "")).alias("body"))
 
 
+# Kinds of pages, and phrases that tell a model what to do.
+PAGE_KINDS = ("business_glossary", "relationship", "schema", "value", "verified_example")
+INJECTION = r"(?i)ignore (all |any )?(the )?(previous|prior|above) (instructions|rules)|disregard (all |any )?(the )?(previous|prior|above)|you are now|system prompt"
+SQL_WORDS = r"(?i)\b(select|insert|update|delete|create|drop|alter|with|pragma|values)\b"
+
+
+def page_problems(pages: DataFrame, columns: DataFrame, snapshot: str) -> DataFrame:
+    """(path, problem) of pages (path, value, knowledge_type, snapshot_id) against the catalog's (table_name, column_name).
+
+    Names in backquotes, alone or as table.column, must be known.  Planning blocks may hold no SQL.
+    """
+    of = lambda problem, test: pages.filter(test).select("path", F.lit(problem).alias("problem"))
+    planning = F.regexp_extract("value", r"(?s)<!-- planning -->(.*?)<!-- /planning -->", 1)
+    marks = lambda m: F.size(F.split("value", m)) - 1
+    found = of("invalid_or_missing_knowledge_type", ~F.coalesce(F.col("knowledge_type").isin(*PAGE_KINDS), F.lit(False)))
+    found = found.unionByName(of("database_snapshot_mismatch", ~F.col("snapshot_id").eqNullSafe(F.lit(snapshot))))
+    found = found.unionByName(of("prompt_injection_detected", F.col("value").rlike(INJECTION)))
+    found = found.unionByName(of("invalid_planning_block", marks("<!-- planning -->") != marks("<!-- /planning -->")))
+    found = found.unionByName(of("planning_sql_leak", planning.rlike(SQL_WORDS)))
+    named = pages.select("path", F.explode(F.array_distinct(F.regexp_extract_all("value", F.lit(r"`([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)?)`"), F.lit(1)))).alias("name"))
+    known = columns.select(F.col("table_name").alias("name")).union(columns.select("column_name")).union(columns.select(F.concat_ws(".", "table_name", "column_name"))).distinct()
+    unknown = named.join(known, "name", "left_anti").select("path", F.concat(F.when(F.contains("name", F.lit(".")), "unknown_column:").otherwise("unknown_name:"), "name").alias("problem"))
+    return found.unionByName(unknown)
+
+
 # The column types of dumps and what they become.
 WHOLE = ("bigint", "int", "integer", "mediumint", "smallint", "tinyint")
 REAL = ("decimal", "double", "float", "numeric", "real")

@@ -57,6 +57,24 @@ def keep_newest(df: DataFrame, by: list[str], order: list[str], n: int) -> DataF
     return df.withColumn("__n", place).filter(F.col("__n") <= n).drop("__n")
 
 
+def merged_review(candidates: DataFrame, review: DataFrame, snapshot: str) -> DataFrame:
+    """Candidates (candidate_id, ...) with the decision that an older review of the same snapshot took, else pending."""
+    old = review.filter(F.col("snapshot_id") == snapshot).select("candidate_id", "decision", "note")
+    return candidates.join(old, "candidate_id", "left").withColumn("decision", F.coalesce("decision", F.lit("pending")))
+
+
+def registered(registry: DataFrame, new: DataFrame) -> DataFrame:
+    """A registry of (question, sql, source_id) and its entry_id, a digest of question and SQL; entries it has are not added again."""
+    keyed = lambda d: d.select("question", "sql", "source_id").withColumn("entry_id", F.sha2(F.concat_ws("\n", F.trim("question"), F.trim("sql")), 256))
+    added = keyed(new).groupBy("entry_id").agg(F.min_by(F.struct("question", "sql", "source_id"), F.struct("source_id", "question", "sql")).alias("x")).select("x.*", "entry_id")
+    return insert_missing(keyed(registry), added, ["entry_id"]).unionByName(keyed(registry))
+
+
+def unregistered(registry: DataFrame, sources: DataFrame) -> DataFrame:
+    """The registry without the entries of some sources (source_id)."""
+    return registry.join(sources.select("source_id").distinct(), "source_id", "left_anti").select(*registry.columns)
+
+
 def drop_orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """Child rows whose parent exists."""
     return child.join(parent.select(F.col(parent_key).alias(child_key)).distinct(), child_key, "left_semi")

@@ -1,6 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
-from tablewright.operators import release, retrieval
+from tablewright.operators import evaluation, release, retrieval
 
 RUN = "k int, status string, sql string, result string, errors array<string>, refs array<string>, question string, error string, ms double"
 
@@ -50,3 +51,31 @@ def test_evidence(spark):
     scored = spark.createDataFrame([(1, "a", 3.0, "SELECT x FROM t", ["t"], ["x"]), (1, "b", 5.0, "SELECT * FROM t", ["t"], []), (1, "c", 4.0, "SELECT y FROM u", ["u"], ["y"]), (1, "d", 2.0, "SELECT x, x FROM t", ["t"], ["x"])], "question_id int, item_id string, score double, sql string, tables array<string>, columns array<string>")
     assert [r.item_id for r in retrieval.fitting_examples(scored, ["t"], ["x"]).orderBy("item_id").collect()] == ["a", "d"]
     assert [r.item_id for r in retrieval.fitting_examples(scored, ["t"], ["x"], characters=20).collect()] == ["a"]
+
+
+def cases(spark, right, **more):
+    rows = [(i, "b", r, True, True, True, 1.0, "holdout" if i % 2 else "train") for i, r in enumerate(right)]
+    return spark.createDataFrame(rows, "case_id int, bucket string, execution_accuracy boolean, executable boolean, ast_valid boolean, safe boolean, duration_ms double, split string")
+
+
+def test_promotion_watches_the_holdout_and_what_is_declared(spark):
+    base, better = cases(spark, [False] * 12), cases(spark, [True] * 12)
+    assert evaluation.promotion(base, better).first()["promote"] and evaluation.promotion(base, better, declared=1.0).first()["promote"]
+    assert not evaluation.promotion(base, better, declared=0.9).first()["promote"]
+    lost = evaluation.promotion(cases(spark, [False] * 11 + [True]), cases(spark, [True] * 11 + [False])).first()
+    assert lost["gain"] and lost["net_fixed"] and not lost["holdout"] and not lost["promote"]
+
+
+def test_exact_split(spark):
+    groups = spark.createDataFrame([("a", 5), ("b", 3), ("c", 2)], "key string, n long")
+    got = {r["key"]: r["split"] for r in evaluation.exact_split(groups, "key", "n", "s", {"train": 50, "validation": 30, "holdout": 20}).collect()}
+    sizes = {"a": 5, "b": 3, "c": 2}
+    assert {s: sum(sizes[k] for k, v in got.items() if v == s) for s in ("train", "validation", "holdout")} == {"train": 5, "validation": 3, "holdout": 2}
+    with pytest.raises(ValueError, match="no groups make"):
+        evaluation.exact_split(groups, "key", "n", "s", {"train": 10, "holdout": 90})
+
+
+def test_gate_codes(spark):
+    rows = [(["sql_safety:parse_error"], "PARSE_ERROR"), (["Unknown_Table: x", "missing_join"], "UNKNOWN_TABLE"), (["blocked_function_load"], "UNSAFE_SQL"), (["odd"], "UNSAFE_SQL"), ([" "], "RESULT_MISMATCH"), ([], "RESULT_MISMATCH")]
+    df = spark.createDataFrame(rows, "errors array<string>, want string")
+    assert df.filter(evaluation.gate_failure(F.col("errors")) != F.col("want")).count() == 0
