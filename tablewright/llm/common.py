@@ -63,6 +63,22 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if there is no such folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in files.listStatus(where)) if files.exists(where) else []
+
+
+def move(spark: SparkSession, old: str, new: str) -> None:
+    """Give a table of the shared folder its lasting name."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(old).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path(new).getParent())
+    if not files.rename(path(old), path(new)):
+        raise OSError(f"{old} can't become {new}")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

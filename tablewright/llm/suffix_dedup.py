@@ -1,15 +1,17 @@
 """Removal of long repeated byte strings, over a logarithmic family of sparse suffix arrays.
 
-Suffixes are sampled by content: of every run of LENGTH bytes, the GRAM-byte string in it with the
-smallest hash (the leftmost, if several) is its anchor.  Equal runs have their anchor at the same
-place, so every repeated run shows as two anchors with an equal gram, and a text of n bytes has about
-2 n / (LENGTH - GRAM) of them.
+Suffixes are sampled by content: of every MATCH bytes (or `length`, if that is less), the GRAM-byte
+string in them with the smallest hash (the leftmost, if several) is their anchor.  Equal strings have
+their anchor at the same place, so every repeated string of MATCH bytes shows as two anchors with an
+equal gram, and a text of n bytes has about 2 n / (MATCH - GRAM) of them.  A run of `length` bytes
+belongs to the anchor of its first MATCH bytes.
 
 The index holds suffix arrays: sorted tables of the sampled suffixes' beginnings, as the first eight
-bytes (which give the order) and a digest of the whole gram.  Texts come in batches.  A batch's array
-is built, merge-joined with every level of the family for grams that stand in both, and then put on
-the lowest level; two levels of one size merge into one of the next, so that n batches leave log n
-levels and each suffix is merged log n times.
+bytes (which give the order) and a digest of the whole gram, with the first place of each and how many
+there are.  Texts come in batches.  A batch's array is built, merge-joined with every level of the
+family for grams that stand in both, and then put on the lowest level; two levels of one size merge
+into one of the next, so that n batches leave log n levels and each suffix is merged log n times.  The
+levels are folders of one path, and a family that is opened there later goes on from them.
 
 Grams found twice only say where to look.  There, exactly which runs repeat is settled with 128-bit
 digests, coarse to fine: all runs of an anchor at once, then blocks of STEP neighbouring runs (a block
@@ -32,9 +34,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, map_arrow, scratch, stored, text_of
+from .common import discard, folders, map_arrow, move, scratch, stored, text_of
 
 STEP = 16
+#: Every repeated string of so many bytes has a sampled suffix of its own.
+MATCH = 256
 #: Batches of one run; more make smaller jobs and more merging.
 BATCHES = 4
 #: Bytes of per-text lists that may be sent to every executor.
@@ -45,7 +49,8 @@ PLACES = np.uint64((1 << 24) - 1)
 
 
 def gram_of(length: int) -> int:
-    return 1 << max(0, (length // 3).bit_length() - 1)
+    """Bytes of a sampled suffix's beginning: half of MATCH, or a third to a sixth of a shorter length."""
+    return MATCH // 2 if length >= MATCH else 1 << max(0, (length // 3).bit_length() - 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -66,26 +71,26 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, first and last start of the runs that have it, and the gram's hash; places are those in data.
+    """Anchor, first and last start of the strings of MATCH bytes that have it, and the gram's hash; places are those in data.
 
     offsets: where each text begins in data (one more than texts).  At most WINDOW starts are looked at together.
     """
-    found = []
+    found, match = [], min(length, MATCH)
     ends = np.repeat(offsets[1:], np.diff(offsets))
-    for at in range(0, max(1, len(data) - length + 1), WINDOW):
-        part = data[at : at + WINDOW + length - 1]
-        if len(part) < length:
+    for at in range(0, max(1, len(data) - match + 1), WINDOW):
+        part = data[at : at + WINDOW + match - 1]
+        if len(part) < match:
             break
         gram = gram_of(length)
         h = gram_hashes(part, gram)
-        n, width = len(part) - length + 1, length - gram + 1
+        n, width = len(part) - match + 1, match - gram + 1
         key = np.full(-(-len(h) // width) * width, np.iinfo(np.uint64).max, np.uint64)
         key[: len(h)] = (h & ~PLACES) | np.arange(len(h), dtype=np.uint64)
         rows = key.reshape(-1, width)
         left = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
         right = np.minimum.accumulate(rows, axis=1).ravel()
         place = (np.minimum(left[:n], right[width - 1 : width - 1 + n]) & PLACES).astype(np.int64)
-        start = np.flatnonzero(np.arange(at, at + n) + length <= ends[at : at + n])
+        start = np.flatnonzero(np.arange(at, at + n) + match <= ends[at : at + n])
         place = place[start]
         if not len(start):
             continue
@@ -107,19 +112,27 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class SuffixFamily:
-    """Levels of sampled suffixes (head, gram); level i holds 2**i batches.  Each level is a sorted table in the shared folder."""
+    """Levels of sampled suffixes (head, gram, n, id, th, place); level i holds 2**i batches.
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.levels = spark, {}
+    Each level is a sorted table, a folder level-<i> of the family's path; an existing path is gone on with.  Only one
+    family may write a path at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path = spark, (path or scratch(spark, "family")).rstrip("/")
+        self.levels = {int(name.removeprefix("level-").split("-")[0]): self._read(f"{self.path}/{name}") for name in folders(spark, self.path) if name.startswith("level-")}
+
+    def _read(self, path: str) -> tuple[DataFrame, str]:
+        return self.spark.read.parquet(path), path
 
-    def _array(self, rows: DataFrame) -> tuple[DataFrame, str]:
-        path = scratch(self.spark, "suffixes")
-        counted = rows.groupBy("head", "gram").agg(F.sum("n").alias("n")).sortWithinPartitions("head", "gram")
+    def _array(self, rows: DataFrame, path: str) -> tuple[DataFrame, str]:
+        first = F.min(F.struct("id", "th", "place")).alias("x")
+        counted = rows.groupBy("head", "gram").agg(F.sum("n").alias("n"), first).select("head", "gram", "n", "x.*").sortWithinPartitions("head", "gram")
         return stored(counted, "suffixes", path), path
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Take in a batch of (head, gram, n); give the (head, gram) that stand twice in it, or in it and in a level."""
-        fresh, path = self._array(batch)
+        """Take in a batch of (head, gram, n, id, th, place); give the (head, gram) that stand twice in it, or in it and in a level."""
+        fresh, path = self._array(batch, scratch(self.spark, "suffixes"))
         twice = fresh.filter("n > 1").select("head", "gram")
         for level, _ in self.levels.values():
             twice = twice.unionByName(fresh.join(level.select("head", "gram"), ["head", "gram"]).select("head", "gram"))
@@ -127,11 +140,12 @@ class SuffixFamily:
         rank = 0
         while rank in self.levels:
             level, old = self.levels.pop(rank)
-            merged, merged_path = self._array(level.unionByName(fresh))
+            merged, merged_path = self._array(level.unionByName(fresh), scratch(self.spark, "suffixes"))
             discard(self.spark, old)
             discard(self.spark, path)
             fresh, path, rank = merged, merged_path, rank + 1
-        self.levels[rank] = fresh, path
+        move(self.spark, path, f"{self.path}/level-{rank}")
+        self.levels[rank] = self._read(f"{self.path}/level-{rank}")
         return twice
 
     def drop(self) -> None:
@@ -142,26 +156,29 @@ class SuffixFamily:
 def sampled(rows: DataFrame, length: int) -> DataFrame:
     """(id, th, head, gram, key, k, place, first, last, upto): each text's sampled suffixes and the string that their runs cover.
 
-    key: digest of all bytes of the anchor's runs.  Anchors with equal keys whose runs follow each other, as in periodic
-    texts, are one row, with k of them: place, first and last are the first one's, and the starts go on to upto.
+    key: digest of all bytes of the anchor's runs, null if it has none because the text ends too soon.  Anchors with
+    equal keys whose runs follow each other, as in periodic texts, are one row, with k of them: place, first and last
+    are the first one's, and the starts go on to upto.
     """
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = bytes_of(part.column("text"))
         place, first, last, gram = anchors(data, offsets, length)
         raw = memoryview(data)
-        key = [xxhash.xxh3_128_digest(raw[a:z]) for a, z in zip(first.tolist(), (last + length).tolist(), strict=True)]
         owner = np.searchsorted(offsets, place, "right") - 1
-        high = np.frombuffer(b"".join(key), np.dtype([("a", np.int64), ("b", np.int64)]))
+        last = np.minimum(last, offsets[owner + 1] - length)
+        none = first > last  # the text ends before a run would
+        key = [b"" if no else xxhash.xxh3_128_digest(raw[a:z]) for a, z, no in zip(first.tolist(), (last + length).tolist(), none.tolist(), strict=True)]
+        high = np.frombuffer(b"".join(k or bytes(16) for k in key), np.dtype([("a", np.int64), ("b", np.int64)]))
         new = np.ones(len(place), bool)
-        new[1:] = (high["a"][1:] != high["a"][:-1]) | (high["b"][1:] != high["b"][:-1]) | (owner[1:] != owner[:-1]) | (first[1:] != last[:-1] + 1)
+        new[1:] = (high["a"][1:] != high["a"][:-1]) | (high["b"][1:] != high["b"][:-1]) | (owner[1:] != owner[:-1]) | (first[1:] != last[:-1] + 1) | none[1:] | none[:-1]
         at = np.flatnonzero(new)
         count, upto = np.diff(at, append=len(place)), last[np.append(at[1:], len(place)) - 1] if len(at) else last
         padded, begin = np.concatenate([data, np.zeros(8, np.uint8)]), offsets[owner[at]]
         head = padded[place[at][:, None] + np.arange(8)].copy().view(">u8").ravel().astype(np.uint64) ^ np.uint64(1 << 63)
         take = pa.array(owner[at])
         return pa.RecordBatch.from_arrays([
-            part.column("id").take(take), part.column("th").take(take), pa.array(head.astype(np.int64)), pa.array(gram[at]), pa.array([key[i] for i in at.tolist()], pa.binary()), pa.array(count.astype(np.int32)),
+            part.column("id").take(take), part.column("th").take(take), pa.array(head.astype(np.int64)), pa.array(gram[at]), pa.array([key[i] or None for i in at.tolist()], pa.binary()), pa.array(count.astype(np.int32)),
             *[pa.array((x - begin).astype(np.int32)) for x in (place[at], first[at], last[at], upto)],
         ], ["id", "th", "head", "gram", "key", "k", "place", "first", "last", "upto"])
 
@@ -172,7 +189,7 @@ def sampled(rows: DataFrame, length: int) -> DataFrame:
 def with_lists(rows: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
     """rows beside what `lists` has for their (id, th); the lists are sent around only if they are small."""
     lists = stored(lists.withColumnsRenamed({"id": "lid", "th": "lth"}), "lists")
-    size = lists.agg(F.sum(F.size("list") * 24 + 64)).first()[0] or 0
+    size = lists.agg(F.sum(F.coalesce(F.size("list"), F.lit(0)) * 24 + 64)).first()[0] or 0
     return rows.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, F.col("id").eqNullSafe(F.col("lid")) & (F.col("th") == F.col("lth")), how).drop("lid", "lth")
 
 
@@ -241,21 +258,26 @@ def merged(starts: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int, id_column: str) -> DataFrame:
-    """(id, th, list of (first, last)): the bytes that runs of `length` bytes cover which start elsewhere too, last exclusive."""
+    """(id, th, list of (first, last), matches): the bytes that runs of `length` bytes cover which start elsewhere too, last exclusive.
+
+    matches: the text's sampled suffixes that stand elsewhere too.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).alias("id"), text_of().alias("text")).withColumn("th", F.xxhash64("text"))
     long_enough = rows.filter(F.octet_length("text") >= length)
     samples_at, starts_at = scratch(spark, "samples"), scratch(spark, "starts")
-    batched = sampled(long_enough, length).withColumn("batch", F.pmod(F.xxhash64("id", "th"), F.lit(BATCHES)))
+    batched = sampled(rows.filter(F.octet_length("text") >= min(length, MATCH)), length).withColumn("batch", F.pmod(F.xxhash64("id", "th"), F.lit(BATCHES)))
     batched.write.partitionBy("batch").parquet(samples_at)
     samples = spark.read.schema(batched.schema).parquet(samples_at)
     family, found = SuffixFamily(spark), None
     for i in range(BATCHES):
-        twice = family.add(samples.filter(F.col("batch") == i).select("head", "gram", F.col("k").alias("n")))
+        twice = family.add(samples.filter(F.col("batch") == i).select("head", "gram", F.col("k").alias("n"), "id", "th", "place"))
         found = twice if found is None else found.unionByName(twice)
     family.drop()
-    strings_at = scratch(spark, "strings")
-    strings = stored(samples.drop("batch").join(found.distinct(), ["head", "gram"]), "strings", strings_at)
+    twice_at = scratch(spark, "strings")
+    both = stored(samples.drop("batch").join(found.distinct(), ["head", "gram"]), "strings", twice_at)
+    matches = stored(both.groupBy("id", "th").agg(F.sum("k").alias("matches")), "matches")
+    strings = both.filter("key IS NOT NULL")
     discard(spark, samples_at)
 
     def add(starts: DataFrame) -> None:
@@ -264,7 +286,7 @@ def repeated_spans(docs: DataFrame, length: int, id_column: str) -> DataFrame:
     one = F.struct("id", "th", "place", "first", "last")
     copies = stored(strings.groupBy("head", "gram", "key").agg(F.sum("k").alias("copies"), F.min(one).alias("x")), "copies")
     add(strings.join(copies.filter("copies > 1").select("key"), "key").drop("last").withColumnRenamed("upto", "last"))
-    discard(spark, strings_at)
+    discard(spark, twice_at)
 
     # Only a gram of two different strings can hold a run that one of them shares with the other.
     several = copies.groupBy("head", "gram").agg(F.count("*").alias("n")).filter("n > 1").select("head", "gram")
@@ -287,19 +309,24 @@ def repeated_spans(docs: DataFrame, length: int, id_column: str) -> DataFrame:
     add(runs.filter("not done").join(again, "key").withColumn("last", F.col("first")))
     discard(spark, runs_at)
     kind = rows.schema["id"].dataType.simpleString()
-    return merged(spark.read.schema(f"id {kind}, th long, first int, last int").parquet(starts_at), length)
+    spans = merged(spark.read.schema(f"id {kind}, th long, first int, last int").parquet(starts_at), length)
+    # every run has an anchor, so each text with spans has matches
+    spans = spans.withColumnsRenamed({"id": "sid", "th": "sth"})
+    return matches.join(spans, F.col("id").eqNullSafe(F.col("sid")) & (F.col("th") == F.col("sth")), "left").select("id", "th", "list", "matches")
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, id_column: str = "doc_id", full: bool = False) -> DataFrame:
-    """For each row: n_bytes, n_removed, n_spans, and the digest of the bytes kept; with full also the bytes and the removed spans.
+    """For each row: n_bytes, n_removed, n_spans, the digest of the bytes kept, and n_matches; with full also the bytes and the removed spans.
 
-    Every byte that some repeated run covers goes.
+    Every byte that some repeated run covers goes.  n_matches: the text's sampled suffixes whose beginning (128 bytes for
+    a length of 400) stands elsewhere too, at least one for each repeated string of MATCH bytes, removed or not.
     """
     rows = docs.select(F.col(id_column).alias("id"), text_of().alias("text")).withColumn("th", F.xxhash64("text"))
     spans = repeated_spans(docs, length, id_column)
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         n_bytes, n_removed, n_spans, digests, kept_all, cut_all = [], [], [], [], [], []
+        matches = pa.compute.fill_null(part.column("matches"), 0)
         for text, items in zip(part.column("text").to_pylist(), part.column("list").to_pylist(), strict=True):
             raw, cuts = text.encode(), [[x["first"], x["last"]] for x in items or ()]
             at, kept = 0, []
@@ -314,11 +341,11 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_column: str = "doc_id"
             if full:
                 kept_all.append(kept)
                 cut_all.append(cuts)
-        columns = [part.column("id"), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string())]
+        columns = [part.column("id"), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string()), matches]
         if full:
             columns += [pa.array(kept_all, pa.binary()), pa.array(cut_all, pa.list_(pa.list_(pa.int64())))]
-        return pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept", "removed"] * full])
+        return pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_matches", *["kept", "removed"] * full])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, removed array<array<long>>" * full
-    return map_arrow(with_lists(rows, spans, "left").select("id", "text", "list"), run, schema).withColumnRenamed("id", id_column)
+    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_matches long" + ", kept binary, removed array<array<long>>" * full
+    return map_arrow(with_lists(rows, spans, "left").select("id", "text", "list", "matches"), run, schema).withColumnRenamed("id", id_column)

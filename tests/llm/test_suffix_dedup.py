@@ -3,7 +3,8 @@
 import hashlib
 import random
 
-from tablewright.llm.suffix_dedup import anchors, bytes_of, remove_repeats
+from tablewright.llm.common import folders, scratch
+from tablewright.llm.suffix_dedup import MATCH, SuffixFamily, anchors, bytes_of, gram_of, remove_repeats, sampled
 
 SCHEMA = "doc_id long, text string, lang string, id string, th long, list string"
 
@@ -30,9 +31,20 @@ def order(rows):
     return sorted(map(tuple, rows), key=str)
 
 
+def holds_repeat(docs, length):
+    """Whether each text holds a string of so many bytes that starts elsewhere too."""
+    return [n > 0 for _, _, n, _, _ in brute(docs, length)]
+
+
 def check(spark, docs, length):
     df = spark.createDataFrame([(d, t, "en", "x", 1, "y") for d, t in docs], SCHEMA)
-    assert order(remove_repeats(df, length).collect()) == order(brute(docs, length))
+    got = [tuple(r) for r in remove_repeats(df, length).collect()]
+    assert order(r[:5] for r in got) == order(brute(docs, length))
+    # a repeated string of MATCH bytes has a match, and a match is a repeated gram
+    matched = sorted((str(r[0]), r[4], r[5] > 0) for r in got)
+    must, may = holds_repeat(docs, min(length, MATCH)), holds_repeat(docs, gram_of(length))
+    for (_, _, is_), (_, _, low, high) in zip(matched, sorted((str(d), x[4], a, b) for (d, _), x, a, b in zip(docs, brute(docs, length), must, may, strict=True)), strict=True):
+        assert low <= is_ <= high
 
 
 def test_random_texts_with_planted_repeats(spark):
@@ -64,6 +76,36 @@ def test_thousand_copies_of_a_passage(spark):
     check(spark, docs, 32)
 
 
+def test_passages_shorter_than_a_run(spark):
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage, run = word(300), word(450)
+    docs = [(1, word(500) + passage), (2, passage + word(90)), (3, word(70) + passage[:260] + word(600)), (4, word(900)), (5, passage[:100] + word(400)), (6, run + word(30)), (7, word(200) + run), (8, passage), (9, word(256))]
+    check(spark, docs, 400)
+    got = {x["doc_id"]: (x["n_removed"], x["n_matches"] > 0) for x in remove_repeats(spark.createDataFrame([(d, t, "", "", 0, "") for d, t in docs], SCHEMA), 400).collect()}
+    assert got == {1: (0, True), 2: (0, True), 3: (0, True), 4: (0, False), 5: (0, False), 6: (450, True), 7: (450, True), 8: (0, True), 9: (0, False)}
+
+
+def test_a_stored_family_takes_more_batches(spark):
+    r = random.Random(9)
+    texts = ["".join(r.choice("abcdefgh ") for _ in range(400)) for _ in range(6)]
+    path = scratch(spark, "family")
+
+    def batch(*texts):
+        rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "id long, th long, text string")
+        return sampled(rows, 400).selectExpr("head", "gram", "CAST(k AS long) AS n", "id", "th", "place")
+
+    assert SuffixFamily(spark, path).add(batch(texts[0], texts[1])).count() == 0
+    assert SuffixFamily(spark, path).add(batch(texts[2])).count() == 0  # merges with the first level
+    assert folders(spark, path) == ["level-1"]
+    family = SuffixFamily(spark, path)
+    found = family.add(batch("!" + texts[1], texts[3]))
+    assert found.count() > 0 and folders(spark, path) == ["level-0", "level-1"]
+    again = batch(texts[1]).join(found, ["head", "gram"]).count()
+    assert again == found.distinct().count()
+    assert family.add(batch(texts[4])).count() == 0 and folders(spark, path) == ["level-2"]
+
+
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], SCHEMA), 24).collect() == []
 
@@ -84,4 +126,4 @@ def test_every_run_has_one_anchor_that_it_holds():
     place, first, last, _ = anchors(data, offsets, 24)
     starts = [s for a, z in zip(first, last, strict=True) for s in range(a, z + 1)]
     assert starts == [o + s for o, t in zip(offsets, texts, strict=False) for s in range(len(t) - 23)]
-    assert all(a <= p and z <= p <= a + 24 for p, a, z in zip(place, last, first, strict=True)) or all(z <= p for p, z in zip(place, last, strict=True))
+    assert all(z <= p < a + 24 for p, a, z in zip(place, first, last, strict=True))
