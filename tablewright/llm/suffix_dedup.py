@@ -31,7 +31,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, folders, map_arrow, move, scratch, stored, text_of
@@ -112,7 +112,7 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class SuffixFamily:
-    """Levels of sampled suffixes (head, gram, n, id, th, place); level i holds 2**i batches.
+    """Levels of sampled suffixes (head, gram, n, at); level i holds 2**i batches.  at: the place of one of the n (see place_of).
 
     Each level is a sorted table, a folder level-<i> of the family's path; an existing path is gone on with.  Only one
     family may write a path at a time.
@@ -126,12 +126,11 @@ class SuffixFamily:
         return self.spark.read.parquet(path), path
 
     def _array(self, rows: DataFrame, path: str) -> tuple[DataFrame, str]:
-        first = F.min(F.struct("id", "th", "place")).alias("x")
-        counted = rows.groupBy("head", "gram").agg(F.sum("n").alias("n"), first).select("head", "gram", "n", "x.*").sortWithinPartitions("head", "gram")
+        counted = rows.groupBy("head", "gram").agg(F.sum("n").alias("n"), F.min("at").alias("at")).sortWithinPartitions("head", "gram")
         return stored(counted, "suffixes", path), path
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Take in a batch of (head, gram, n, id, th, place); give the (head, gram) that stand twice in it, or in it and in a level."""
+        """Take in a batch of (head, gram, n, at); give the (head, gram) that stand twice in it, or in it and in a level."""
         fresh, path = self._array(batch, scratch(self.spark, "suffixes"))
         twice = fresh.filter("n > 1").select("head", "gram")
         for level, _ in self.levels.values():
@@ -153,6 +152,11 @@ class SuffixFamily:
             discard(self.spark, path)
 
 
+def place_of() -> Column:
+    """A sampled suffix's place as one number: 40 bits of its text's hash, and 24 of the byte it begins at."""
+    return F.xxhash64("id", "th").bitwiseAND(F.lit(-(1 << 24))).bitwiseOR(F.col("place").cast("long").bitwiseAND(F.lit((1 << 24) - 1)))
+
+
 def sampled(rows: DataFrame, length: int) -> DataFrame:
     """(id, th, head, gram, key, k, place, first, last, upto): each text's sampled suffixes and the string that their runs cover.
 
@@ -271,7 +275,7 @@ def repeated_spans(docs: DataFrame, length: int, id_column: str) -> DataFrame:
     samples = spark.read.schema(batched.schema).parquet(samples_at)
     family, found = SuffixFamily(spark), None
     for i in range(BATCHES):
-        twice = family.add(samples.filter(F.col("batch") == i).select("head", "gram", F.col("k").alias("n"), "id", "th", "place"))
+        twice = family.add(samples.filter(F.col("batch") == i).select("head", "gram", F.col("k").alias("n"), place_of().alias("at")))
         found = twice if found is None else found.unionByName(twice)
     family.drop()
     twice_at = scratch(spark, "strings")

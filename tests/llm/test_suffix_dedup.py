@@ -4,7 +4,7 @@ import hashlib
 import random
 
 from tablewright.llm.common import folders, scratch
-from tablewright.llm.suffix_dedup import MATCH, SuffixFamily, anchors, bytes_of, gram_of, remove_repeats, sampled
+from tablewright.llm.suffix_dedup import MATCH, SuffixFamily, anchors, bytes_of, gram_of, place_of, remove_repeats, sampled
 
 SCHEMA = "doc_id long, text string, lang string, id string, th long, list string"
 
@@ -93,7 +93,7 @@ def test_a_stored_family_takes_more_batches(spark):
 
     def batch(*texts):
         rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "id long, th long, text string")
-        return sampled(rows, 400).selectExpr("head", "gram", "CAST(k AS long) AS n", "id", "th", "place")
+        return sampled(rows, 400).selectExpr("head", "gram", "CAST(k AS long) AS n", "id", "th", "place").withColumn("at", place_of()).select("head", "gram", "n", "at")
 
     assert SuffixFamily(spark, path).add(batch(texts[0], texts[1])).count() == 0
     assert SuffixFamily(spark, path).add(batch(texts[2])).count() == 0  # merges with the first level
