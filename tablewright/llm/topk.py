@@ -8,7 +8,8 @@ exact: products run in doubles only while every partial sum is below 2**53, else
 Vectors that are null, or hold a null or a component that is not finite, take no part; neither do
 rows without an id.  Vectors of different length never meet.  Equal scores rank by the smaller id.
 Repeated rows are candidates of their own, except that no row with the query's id is one; a repeated
-query id is searched once for each distinct vector and keeps the best of both.  Scores beyond 64 bits are cut to the bounds.
+query id is searched once for each distinct vector and keeps the best of both.  Scores beyond 64 bits are cut to the bounds,
+and a component whose product with the scale is beyond doubles counts as the largest (or least) of them.
 Empty tables give empty results.  Other columns are never read.
 """
 
@@ -30,6 +31,7 @@ LISTS = "query_id long, vec_id long, score long"
 #: Lists that one step of the tree merges into one.
 FAN = 64
 LEAST, MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+LARGEST = np.finfo(np.float64).max
 
 
 def usable(column: str) -> Column:
@@ -52,7 +54,8 @@ def tiles(vectors: DataFrame, rows: int, scale: int) -> DataFrame:
         for b in batches:
             lists = b.column("v")
             ids, sizes = np.asarray(b.column("vec_id"), np.int64), np.asarray(pa.compute.list_value_length(lists))
-            flat = np.floor(np.asarray(pa.compute.list_flatten(lists), np.float64) * scale)
+            with np.errstate(over="ignore"):
+                flat = np.clip(np.floor(np.asarray(pa.compute.list_flatten(lists), np.float64) * scale), -LARGEST, LARGEST)
             ends = np.concatenate([[0], np.cumsum(sizes)])
             for dim in np.unique(sizes).tolist():
                 of = np.flatnonzero(sizes == dim)

@@ -404,3 +404,10 @@ def test_redaction(docs):
 def test_rows_taken_out(spark, docs):
     gone = docs.filter("doc_id = 1 or doc_id is null").select(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
     assert key(without(docs, gone).select("doc_id", "text").collect()) == key(x for x in TEXTS if x[0] not in (1, None))
+
+
+def test_products_beyond_doubles(spark):
+    vectors = spark.createDataFrame([(0, [1e306, 1.0]), (1, [1e306, -1.0]), (2, [-1e306, 0.0]), (3, [0.0, 1.0]), (4, [1e-3, 2.0])], "vec_id long, embedding array<double>")
+    got = topk.exact_top_k(vectors, vectors.filter("vec_id IN (0, 3)"), k=4, scale=1024)
+    most = 2**63 - 1
+    assert key(got.collect()) == key([(0, 1, 1, most), (0, 2, 4, most), (0, 3, 3, 1024**2), (0, 4, 2, -most), (3, 1, 4, 2 * 1024**2), (3, 2, 0, 1024**2), (3, 3, 2, 0), (3, 4, 1, -(1024**2))])
