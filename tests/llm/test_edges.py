@@ -51,7 +51,9 @@ def test_suffix_dedup(docs):
             for n, i in hits:
                 gone[n][i : i + length] = b"\1" * length
     want = [(d, len(b), sum(g), len(re.findall(b"\x01+", bytes(g))), sha(bytes(x for x, y in zip(b, g, strict=True) if not y))) for (d, b), g in zip(raw, gone, strict=True)]
-    assert key(suffix_dedup.remove_repeats(docs, length).collect()) == key(want)
+    got = suffix_dedup.remove_repeats(docs, length).collect()
+    assert key(tuple(r)[:5] for r in got) == key(want)
+    assert all(r.n_matches > 0 for r in got if r.n_removed) and any(not r.n_matches for r in got)
     assert suffix_dedup.remove_repeats(empty(docs), length).collect() == []
 
 
