@@ -34,8 +34,11 @@ PLAIN = re.compile("(\n)?( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@[-`{
 #: Such a word behind a space or a line end, for whole columns.
 PLAIN_BEGUN = "^(\n ?| )[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+[!-&(-/:-@\\[-`{-~]*$"
 #: Words kept between batches; beyond that the store starts anew.
-STORE_WORDS = 250_000
-STORE_IDS = 3_000_000
+STORE_WORDS = 600_000
+STORE_IDS = 6_000_000
+#: The same where a file of ranks makes new words cheap.
+RANKED_WORDS = 250_000
+RANKED_IDS = 3_000_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -292,7 +295,7 @@ class Words:
 
     def codes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The words of all texts as places in the store, and where each text's words begin (one more than texts)."""
-        if len(self.start) > STORE_WORDS or len(self.ids) > STORE_IDS:
+        if len(self.start) > (STORE_WORDS if self.ranked is None else RANKED_WORDS) or len(self.ids) > (STORE_IDS if self.ranked is None else RANKED_IDS):
             self.clear()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if self.spaced:
