@@ -162,18 +162,43 @@ class Merges:
                     return token
         return -1
 
+    def _extend(self, word: str, n: int, states: list[int]) -> None:
+        """Append the states up to n letters: as _state for each of them, without a call for each."""
+        get, known, size, stable = self.inner_ends.get, self._stable, self.size, self.stable
+        for i in range(len(states), n + 1):
+            found, start, state = [], i - 1, -1
+            while start >= 0:
+                token = get(word[start:i])
+                if token is None:
+                    break
+                if token >= 0:
+                    found.append(start)
+                    found.append(token)
+                start -= 1
+            while found:
+                token, start = found.pop(), found.pop()
+                if start:
+                    before = states[start]
+                    if before < 0:
+                        continue
+                    ok = known.get(before * size + token)
+                    if not (stable(before, token) if ok is None else ok):
+                        continue
+                state = token
+                break
+            states.append(state)
+
     def encode_sorted(self, words: list[str]):
         """Token ids of each of the sorted, distinct words: one walk of their trie."""
         before, states, state, length = "", [-1], self._state, self.length
-        inner, last, end = self.inner_ends, self.last_ends, bool(self.end)
+        last, end = self.last_ends, bool(self.end)
         for word in words:
             n, shared = len(word), 0
             most = min(n, len(before), len(states) - 1)
             while shared < most and word[shared] == before[shared]:
                 shared += 1
             del states[shared + 1 :]
-            for i in range(shared + 1, n + (not end)):
-                states.append(state(word, i, states, inner))
+            self._extend(word, n - end, states)
             out, i = [], n
             if end and n:
                 out.append(state(word, n, states, last))
@@ -254,6 +279,7 @@ class Words:
         self.known = pa.array([], pa.large_string())
         self.known_codes = np.zeros(0, np.int64)
         self.code: dict[str, int] = {}
+        self.piece: dict[str, int] = {}
         self.ids = array("i")
         self.start = array("q")
         self.length = array("q")
@@ -262,7 +288,8 @@ class Words:
         """The word's pieces in letters of the vocabulary; a special token as its id."""
         m = PLAIN.fullmatch(word)
         if m and (self.spaced or word[0] > " "):
-            first = as_letters(m[2] if self.spaced else m[2].lower())
+            first = m[2] if self.spaced else m[2].lower()
+            first = first.replace(" ", LETTERS[32]) if first.isascii() else as_letters(first)
             return [LETTERS[10]] * bool(m[1]) + [first] + [m[3]] * bool(m[3])
         out: list[str | int] = []
         for part in self.special.split(word) if self.special else [word]:
@@ -274,28 +301,39 @@ class Words:
                 out += [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(part)]
         return out
 
+    def _entry(self, ids) -> int:
+        """The place of new ids in the store."""
+        self.start.append(len(self.ids))
+        self.length.append(len(ids))
+        self.ids.extend(ids)
+        return len(self.start) - 1
+
     def add(self, words) -> None:
-        """Encode the words that are new."""
+        """Encode the words that are new; a piece that stood in another word is known already."""
         new: dict[str, list] = {w: self.pieces(w) for w in words if w not in self.code}
         if not new:
             return
         gc.disable()  # hundreds of thousands of lists live until the end of this call
-        distinct = sorted({p for ps in new.values() for p in ps if isinstance(p, str)})
-        ids = dict(zip(distinct, self.merges.encode_sorted(distinct), strict=True))
+        distinct = sorted({p for ps in new.values() for p in ps if isinstance(p, str) and p not in self.piece})
+        for p, ids in zip(distinct, self.merges.encode_sorted(distinct), strict=True):
+            self.piece[p] = self._entry(ids)
         for w, ps in new.items():
-            self.code[w] = len(self.start)
-            self.start.append(len(self.ids))
+            if len(ps) == 1 and isinstance(ps[0], str):
+                self.code[w] = self.piece[ps[0]]
+                continue
+            ids = array("i")
             for p in ps:
                 if isinstance(p, str):
-                    self.ids.extend(ids[p])
+                    at = self.start[self.piece[p]]
+                    ids += self.ids[at : at + self.length[self.piece[p]]]
                 else:
-                    self.ids.append(p)
-            self.length.append(len(self.ids) - self.start[-1])
+                    ids.append(p)
+            self.code[w] = self._entry(ids)
         gc.enable()
 
     def codes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The words of all texts as places in the store, and where each text's words begin (one more than texts)."""
-        if len(self.start) > (STORE_WORDS if self.ranked is None else RANKED_WORDS) or len(self.ids) > (STORE_IDS if self.ranked is None else RANKED_IDS):
+        if max(len(self.start), len(self.known)) > (STORE_WORDS if self.ranked is None else RANKED_WORDS) or len(self.ids) > (STORE_IDS if self.ranked is None else RANKED_IDS):
             self.clear()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if self.spaced:
