@@ -28,16 +28,13 @@ def bounded(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a default is set only where none is named."""
-    name = spark.conf.get("spark.checkpoint.dir", None)
-    if not name:
-        name = "/tmp/tablewright-shared"
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(name)
-        return spark.sparkContext.getCheckpointDir()
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(name)
-    return name
+    """The folder that driver and executors share; where none is named, a default one on one machine, and an error on a cluster."""
+    name, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not name and context.getCheckpointDir() is None and context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(name or "/tmp/tablewright-shared")
+    return name or context.getCheckpointDir()
 
 
 def scratch(spark: SparkSession, kind: str) -> str:

@@ -413,3 +413,31 @@ def test_products_beyond_doubles(spark):
     got = topk.exact_top_k(vectors, vectors.filter("vec_id IN (0, 3)"), k=4, scale=1024)
     most = 2**63 - 1
     assert key(got.collect()) == key([(0, 1, 1, most), (0, 2, 4, most), (0, 3, 3, 1024**2), (0, 4, 2, -most), (3, 1, 4, 2 * 1024**2), (3, 2, 0, 1024**2), (3, 3, 2, 0), (3, 4, 1, -(1024**2))])
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_pieces_known_from_other_words(name):
+    import pyarrow as pa
+
+    from tablewright.llm.bpe import Words
+
+    words, library = Words(vocabulary(name)), tokenizer(name)
+    for batch in (["stone, rain", "Stone\nrain! 17"], ["(stone) rain,17 stone", "stone stone,", ""], ["unstone17 Straße, straße. STRASSE"]):
+        ids, ends = words.encode(pa.array(batch))
+        assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [library.encode(t, add_special_tokens=False).ids for t in batch]
+
+
+def test_a_cluster_must_name_its_shared_folder(tmp_path):
+    from types import SimpleNamespace
+
+    from tablewright.llm.common import shared_dir
+
+    def session(master, named):
+        set_to = []
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: set_to[-1] if set_to else None, setCheckpointDir=set_to.append)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: named or default))
+
+    assert shared_dir(session("spark://a:7077", "/shared")) == "/shared"
+    assert shared_dir(session("local[2]", None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session("spark://a:7077", None))
