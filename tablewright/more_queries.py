@@ -325,6 +325,15 @@ def linked_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.linked_columns(asked, _columns(spark, sf_dir, "orders", "customer"), values(orders, "orders", "o_orderpriority").unionByName(values(customer, "customer", "c_mktsegment")))
 
 
+@query("SELECT * FROM (VALUES (1, 'orders.o_custkey', 'customer.c_custkey'), (2, 'customer.c_nationkey', 'nation.n_nationkey')) t(question_id, \"left\", \"right\")")
+def stated_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = rows_of(
+        spark, "question_id int, text string", (1, "Join orders.o_custkey = Customer.C_CUSTKEY, that is orders.o_custkey=customer.c_custkey."),
+        (2, "orders.o_custkey = orders.o_orderkey, customer.c_nationkey\n= nation.n_nationkey, nation.none = orders.o_custkey"), (3, "customer.c_custkey is 7"), (4, None),
+    )
+    return retrieval.stated_joins(asked, _columns(spark, sf_dir, "orders", "customer", "nation"))
+
+
 @query("SELECT * FROM (VALUES (1, 'customer', 2::BIGINT), (1, 'orders', 1::BIGINT), (2, 'nation', 1::BIGINT)) t(question_id, table_name, links)")
 def merged_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     pack = lambda *rows: rows_of(spark, "question_id int, table_name string, column_name string", *rows)
