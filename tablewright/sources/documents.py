@@ -167,3 +167,26 @@ def chained(payloads: list[str], previous: str = GENESIS) -> list[tuple[int, str
         out.append((i, p, previous, own))
         previous = own
     return out
+
+
+def file_digests(spark: SparkSession, pattern: str) -> DataFrame:
+    """(name, sha256, records): each file's digest and how many lines of it aren't blank.
+
+    A file's bytes are one value of one task, so this is for files below the 2 GB that Spark's binary source takes.
+    Spark's readers leave out files without any byte, so an empty file has no row and counts as missing.
+    """
+    name = F.col("_metadata.file_name").alias("name")
+    digests = spark.read.format("binaryFile").load(pattern).select(name, F.sha2("content", 256).alias("sha256"))
+    records = spark.read.text(pattern).filter(F.trim("value") != "").select(name).groupBy("name").agg(F.count("*").alias("records"))
+    return digests.join(records, "name", "left").select("name", "sha256", F.coalesce("records", F.lit(0)).cast("long").alias("records"))
+
+
+def manifest_problems(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(name, problem) of files against a manifest, both (name, sha256, records); no rows: they agree."""
+    there, stated = files.alias("there").withColumn("here", F.lit(True)), manifest.alias("stated").withColumn("listed", F.lit(True))
+    both = there.join(stated, "name", "full_outer")
+    problem = (
+        F.when(F.col("here").isNull(), "missing_file").when(F.col("listed").isNull(), "unlisted_file")
+        .when(~F.col("there.sha256").eqNullSafe(F.col("stated.sha256")), "digest_mismatch").when(~F.col("there.records").eqNullSafe(F.col("stated.records")), "count_mismatch")
+    )
+    return both.select("name", problem.alias("problem")).filter(F.col("problem").isNotNull())

@@ -167,3 +167,17 @@ def test_streams(spark, tmp_path):
     assert rows(spark.read.parquet(out)) == [(1, "a"), (2, "b")]
     events = spark.createDataFrame([("2024-01-01 00:01:00", "x"), ("2024-01-01 00:02:00", "x"), ("2024-01-01 00:07:00", "y")], "t string, e string").withColumn("t", F.to_timestamp("t"))
     assert sorted((r["e"], r["n"]) for r in windowed_counts(events, "t", "e").collect()) == [("x", 2), ("y", 1)]
+
+
+def test_files_against_their_manifest(spark, tmp_path):
+    import hashlib
+
+    for name, lines in (("a.jsonl", "{}\n\n{}\n"), ("b.jsonl", "{}\n"), ("c.jsonl", ""), ("new.jsonl", "{}")):
+        (tmp_path / name).write_text(lines)
+    sha = lambda name: hashlib.sha256((tmp_path / name).read_bytes()).hexdigest()
+    files = documents.file_digests(spark, f"{tmp_path}/*.jsonl")
+    assert sorted(map(tuple, files.collect())) == [(n, sha(n), k) for n, k in (("a.jsonl", 2), ("b.jsonl", 1), ("new.jsonl", 1))]  # none of the empty file
+    stated = spark.createDataFrame([("a.jsonl", sha("a.jsonl"), 3), ("b.jsonl", sha("a.jsonl"), 1), ("c.jsonl", sha("c.jsonl"), 0), ("gone.jsonl", "x", 1)], "name string, sha256 string, records long")
+    found = documents.manifest_problems(files, stated)
+    assert dict(map(tuple, found.collect())) == {"a.jsonl": "count_mismatch", "b.jsonl": "digest_mismatch", "c.jsonl": "missing_file", "new.jsonl": "unlisted_file", "gone.jsonl": "missing_file"}
+    assert not documents.manifest_problems(files, files).count()
