@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -90,8 +92,8 @@ def compared(base: DataFrame, candidate: DataFrame, key: str, right: str) -> Dat
     return a.join(b, key, "full_outer").select(key, change.alias("change"))
 
 
-#: Groups that exact_split takes to the driver.
-MOST_GROUPS = 10_000
+#: Choices for one split that exact_split tries before it says that there is none.
+MOST_CHOICES = 1000
 
 
 @dataclass(frozen=True)
@@ -219,31 +221,74 @@ def hash_ordered(df: DataFrame, by: str, key: str, salt: str) -> DataFrame:
     return df.withColumn("place", place.cast("long"))
 
 
+def choices(groups: dict[int, int], want: int) -> Iterator[dict[int, int]]:
+    """How many groups of each size (groups: size -> how many there are) make exactly the wanted sum; every way, but some come twice.
+
+    The first ways take most sizes in proportion, so that only the small rest needs a table of the sums that can be reached.
+    """
+    total = sum(size * n for size, n in groups.items())
+    for tenths in (10, 9, 5, 0) if 0 <= want <= total else ():
+        fixed = {size: n * want * tenths // (10 * total) if total else 0 for size, n in groups.items()}
+        sizes, rest = sorted((s for s in groups if s > 0), reverse=True), want - sum(size * n for size, n in fixed.items())
+        spare = [groups[s] - fixed[s] for s in sizes]
+        reach = [1]  # bit sets: sums that the last sizes make
+        for size, n in zip(reversed(sizes), reversed(spare), strict=True):
+            sums, step = reach[-1], 1
+            while n:
+                step = min(step, n)
+                sums |= (sums << size * step) & ((1 << rest + 1) - 1)
+                n, step = n - step, 2 * step
+            reach.append(sums)
+        reach.reverse()
+        open_ = [(0, rest, ())] if reach[0] >> rest & 1 else []
+        while open_:
+            at, left, taken = open_.pop()
+            if at == len(sizes):
+                yield fixed | {s: fixed[s] + n for s, n in zip(sizes, taken, strict=True)}
+                continue
+            ways = range(min(spare[at], left // sizes[at]) + 1)
+            open_ += [(at + 1, left - n * sizes[at], (*taken, n)) for n in ways if reach[at + 1] >> left - n * sizes[at] & 1]
+
+
+def exact_counts(groups: dict[int, int], wants: dict[str, int]) -> dict[str, dict[int, int]]:
+    """Groups of each size for each split; a choice that leaves a later split without one is taken back."""
+    (split, want), *later = wants.items()
+    failed = ValueError(f"no groups make {want} rows for {split}")
+    for taken in itertools.islice(choices(groups, want), MOST_CHOICES):
+        try:
+            left = {size: n - taken[size] for size, n in groups.items()}
+            return {split: taken} | (exact_counts(left, dict(later)) if later else {})
+        except ValueError as e:
+            failed = e
+    raise failed
+
+
 def exact_split(groups: DataFrame, key: str, n: str, salt: str, shares: dict[str, int]) -> DataFrame:
-    """(key, split): whole groups to splits whose sizes are exactly their shares of 100, in the salted hash order of the groups.
+    """(key, n, split): whole groups to splits whose sizes are exactly their shares of 100; the last split takes what is left.
 
-    groups: one row a group, at most MOST_GROUPS.  Each split takes its groups by a table of the sums that can be
-    reached.  An error says if no choice is exact.
+    groups: one row a group.  Only how many groups there are of each size goes to the driver, and how many of them each
+    split takes comes back; among groups of one size the salted hash order decides.  An error says if no choice is exact.
     """
-    rows = groups.select(F.col(key).cast("string"), F.col(n).cast("long")).orderBy(F.sha2(F.concat(F.lit(salt), F.col(key).cast("string")), 256), key).limit(MOST_GROUPS + 1).collect()
-    if len(rows) > MOST_GROUPS:
-        raise ValueError(f"more than {MOST_GROUPS} groups")
-    left, total, found = [tuple(r) for r in rows], sum(r[1] for r in rows), []
-    for i, (split, share) in enumerate(shares.items()):
-        want = sum(x for _, x in left) if i == len(shares) - 1 else round(total * share / 100)
-        via: dict[int, tuple[int, int] | None] = {0: None}  # sum -> (group taken last, sum before)
-        for at, (_, size) in enumerate(left):
-            for s in [s for s in via if s + size <= want and s + size not in via]:
-                via[s + size] = at, s
-        if want not in via:
-            raise ValueError(f"no groups make {want} rows for {split}")
-        taken, s = set(), want
-        while via[s] is not None:
-            at, s = via[s]
-            taken.add(at)
-        found += [(left[at][0], split) for at in sorted(taken)]
-        left = [g for at, g in enumerate(left) if at not in taken]
-    return groups.sparkSession.createDataFrame(found, "key string, split string")
+    spark, digest = groups.sparkSession, F.sha2(F.concat(F.lit(salt), F.coalesce(F.col(key).cast("string"), F.lit(""))), 256)
+    rows = groups.select(F.col(key).cast("string").alias("key"), F.coalesce(F.col(n).cast("long"), F.lit(0)).alias("n"), digest.alias("h")).withColumn("part", F.substring("h", 1, 3))
+    counted = rows.groupBy("n", "part").agg(F.count("*").alias("groups"))
+    sizes = {r["n"]: r["groups"] for r in counted.groupBy("n").agg(F.sum("groups").alias("groups")).collect()}
+    total = sum(size * many for size, many in sizes.items())
+    wants = {split: round(total * share / 100) for split, share in shares.items()}
+    last = list(wants)[-1]
+    wants[last] = total - sum(want for split, want in wants.items() if split != last)
+    taken, quotas, start = exact_counts(sizes, wants), [], dict.fromkeys(sizes, 0)
+    for split in wants:
+        for size in sizes:
+            many = taken[split][size] if split != last else sizes[size] - start[size]
+            quotas.append((size, split, start[size], start[size] + many))
+            start[size] += many
+    before = F.sum("groups").over(Window.partitionBy("n").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    placed = rows.join(counted.select("n", "part", F.coalesce(before, F.lit(0)).alias("before")), ["n", "part"])
+    place = F.col("before") + F.row_number().over(Window.partitionBy("n", "part").orderBy("h", "key")) - 1
+    bounds = spark.createDataFrame(quotas, "size long, split string, first long, upto long")
+    chosen = placed.withColumn("place", place).join(F.broadcast(bounds), (F.col("n") == F.col("size")) & (F.col("place") >= F.col("first")) & (F.col("place") < F.col("upto")))
+    return chosen.select("key", "n", "split")
 
 
 def usage(calls: DataFrame, run: str, price_in: float, price_out: float) -> DataFrame:

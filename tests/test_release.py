@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tablewright import more_queries
 from tablewright.operators import evaluation, release, retrieval
 
 RUN = "k int, status string, sql string, result string, errors array<string>, refs array<string>, question string, error string, ms double"
@@ -75,6 +76,27 @@ def test_exact_split(spark):
         evaluation.exact_split(groups, "key", "n", "s", {"train": 10, "holdout": 90})
 
 
+def test_exact_split_of_many_groups_and_of_choices_taken_back(spark):
+    shares = {"train": 60, "validation": 20, "holdout": 20}
+    many = spark.range(12_000).select(F.col("id").alias("key"), (1 + F.col("id") % 7).alias("n"))
+    total = many.agg(F.sum("n")).first()[0]
+    got = evaluation.exact_split(many, "key", "n", "s", shares)
+    sums = {r["split"]: r["n"] for r in got.groupBy("split").agg(F.sum("n").alias("n")).collect()}
+    assert sums == {"train": round(total * 0.6), "validation": round(total * 0.2), "holdout": total - round(total * 0.6) - round(total * 0.2)}
+    assert got.select("key").distinct().count() == got.count() == 12_000
+    # 6 + 2 would do for the first split alone, and leave no 6 for the second
+    assert evaluation.exact_counts({6: 1, 5: 1, 3: 1, 2: 1}, {"a": 8, "b": 6, "c": 2})["a"] == {6: 0, 5: 1, 3: 1, 2: 0}
+    assert evaluation.exact_counts({5: 1, 3: 1, 2: 1}, {"a": 5, "b": 3, "c": 2}) == {"a": {5: 1, 3: 0, 2: 0}, "b": {5: 0, 3: 1, 2: 0}, "c": {5: 0, 3: 0, 2: 1}}
+
+
+def test_exact_split_sizes_at_any_number_of_orders(spark, tmp_path):
+    for rows, want in ((15_000, [3000, 9000, 3000]), (1, [0, 1, 0]), (0, [0, 0, 0])):
+        folder = str(tmp_path / str(rows))
+        spark.range(rows).selectExpr("id AS o_orderkey", "id % 1499 * id % 997 AS o_custkey").write.parquet(f"{folder}/orders.parquet")
+        got = more_queries.exact_split_sizes(spark, folder).orderBy("split").collect()
+        assert [r["n"] for r in got] == want
+
+
 def test_gate_codes(spark):
     rows = [(["sql_safety:parse_error"], "PARSE_ERROR"), (["Unknown_Table: x", "missing_join"], "UNKNOWN_TABLE"), (["blocked_function_load"], "UNSAFE_SQL"), (["odd"], "UNSAFE_SQL"), ([" "], "RESULT_MISMATCH"), ([], "RESULT_MISMATCH")]
     df = spark.createDataFrame(rows, "errors array<string>, want string")
