@@ -355,5 +355,5 @@ def role_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def word_and_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vector 100 q stands for question q, and vector d for document d, so the two lists are independent."""
-    near = retrieval.top_k(_cosine(spark, sf_dir), "question_id", "vec_id", 20).select((F.col("question_id") / 100).cast("long").alias("question_id"), F.col("vec_id").alias("doc_id"), "rank")
+    near = retrieval.top_k(_cosine(spark, sf_dir, 20), "question_id", "vec_id", 20).select((F.col("question_id") / 100).cast("long").alias("question_id"), F.col("vec_id").alias("doc_id"), "rank")
     return retrieval.top_k(retrieval.fuse(_lexical(spark, sf_dir), near, "question_id", "doc_id"), "question_id", "doc_id", 5).select("question_id", "doc_id", "rank")

@@ -181,3 +181,19 @@ def test_files_against_their_manifest(spark, tmp_path):
     found = documents.manifest_problems(files, stated)
     assert dict(map(tuple, found.collect())) == {"a.jsonl": "count_mismatch", "b.jsonl": "digest_mismatch", "c.jsonl": "missing_file", "new.jsonl": "unlisted_file", "gone.jsonl": "missing_file"}
     assert not documents.manifest_problems(files, files).count()
+
+
+def test_best_by_cosine_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "SHARD", 7)
+    monkeypatch.setattr(retrieval, "TILE", 3)
+    monkeypatch.setattr(retrieval, "PASS_BYTES", 200)
+    odd = [(200, None), (201, [1.0, None, 2.0]), (202, [0.0, 0.0, 0.0]), (203, [float("nan"), 1.0, 0.0]), (204, [1.0]), (205, []), (None, [1.0, 1.0, 1.0]), (206, [float("inf"), 1.0, 0.0]), (100, [3.0, 1.0, 0.5]), (7, [1.0, 1.0, 1.0])]
+    v = spark.createDataFrame([(i, [float(i % 5 - 2), float(i % 7), 1.0 + i % 3]) for i in range(60)] + odd, "id int, e array<double>")
+    for asked in (v.filter("id % 20 = 0"), v.filter("id >= 200"), v.filter("id < 0")):
+        want = retrieval.top_k(retrieval.cosine_scores(v, asked, "id", "e"), "question_id", "id", 6).select("question_id", "rank", "id", "score")
+        got = retrieval.top_k(retrieval.cosine_best(v, asked, "id", "e", 6), "question_id", "id", 6).select("question_id", "rank", "id", "score")
+        assert got.dtypes == want.dtypes
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    # what a task hands on doesn't grow with the vectors
+    many = spark.range(3000).select("id", F.array(F.sin("id"), F.cos(F.col("id") * 7)).alias("e"))
+    assert retrieval.cosine_best(many, many.filter("id < 2"), "id", "e", 3).count() <= 2 * 3 * 2 * spark.sparkContext.defaultParallelism * 2
