@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tablewright import queries
 from tablewright.functions.text import clip, column_key, decoded, fingerprint, token_estimate, tokens
 from tablewright.operators import catalog, evaluation, execution, retrieval, windows
 from tablewright.sources import documents, tables
@@ -197,3 +198,34 @@ def test_best_by_cosine_are_those_of_all_pairs(spark, monkeypatch):
     # what a task hands on doesn't grow with the vectors
     many = spark.range(3000).select("id", F.array(F.sin("id"), F.cos(F.col("id") * 7)).alias("e"))
     assert retrieval.cosine_best(many, many.filter("id < 2"), "id", "e", 3).count() <= 2 * 3 * 2 * spark.sparkContext.defaultParallelism * 2
+
+
+def test_best_by_words_are_those_of_all_pairs(spark, monkeypatch):
+    texts = [(i, [f"w{i * j % 11}x" + "y" * (j % 3) for j in range(i % 6)]) for i in range(80)]
+    items = spark.createDataFrame([*texts, (3, ["w1x", "w2xyy"]), (3, ["w1x"]), (None, ["w0x", "w5xy"]), (90, None), (91, [])], "d int, said array<string>")
+    asked = spark.createDataFrame([(q, f"w{q * n % 7}x" + "y" * (n % 3)) for q in range(6) for n in range(q)] + [(9, "never"), (None, "w0x")], "q string, token string").distinct()
+    index = retrieval.inverted(items.groupBy("d").agg(F.flatten(F.collect_list("said")).alias("said")), "d", F.col("said"))
+    nulls = lambda df: sorted(map(repr, df.select("q", "rank", "d", "score").collect()))
+    for tokens_, hits, held in ((200_000, 4_000_000, 500_000), (4, 20, 5)):
+        monkeypatch.setattr(retrieval, "HITS", hits)
+        monkeypatch.setattr(retrieval, "HELD", held)
+        want = retrieval.top_k(retrieval.lexical_scores(asked, index, "q", "d"), "q", "d", 4)
+        monkeypatch.setattr(retrieval, "BROADCAST_TOKENS", tokens_)
+        assert nulls(retrieval.top_k(retrieval.lexical_best(asked, items, "q", "d", F.col("said"), 4), "q", "d", 4)) == nulls(want)
+        pairs = spark.createDataFrame([("3", 3), ("3", 3), ("5", 11), ("4", 90), ("77", 1)], "q string, d int")
+        some = retrieval.pair_scores(asked, items, pairs, "q", "d", F.col("said"))
+        all_ = retrieval.lexical_scores(asked, index, "q", "d").join(pairs.distinct(), ["q", "d"])
+        round_ = lambda df: sorted((r["q"], r["d"], round(r["score"], 6)) for r in df.collect())
+        assert round_(some) == round_(all_) != []
+    assert retrieval.lexical_best(asked.limit(0), items, "q", "d", F.col("said"), 4).count() == 0
+    # what a task hands on doesn't grow with the items
+    many = spark.range(4000, numPartitions=4).select(F.col("id").alias("d"), F.array(F.lit("w1x"), F.lit("w0x")).alias("said"))
+    assert retrieval.lexical_best(asked, many, "q", "d", F.col("said"), 2).count() <= 4 * 7 * 2
+
+
+def test_search_by_words_counts_repeated_rows_once(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.createDataFrame([(1, "red car"), (1, "red car")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(5, "red"), (5, "red"), (5, "red"), (6, "red car"), (7, None)], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    for query in (queries.lexical_topk, queries.hybrid_topk):
+        assert rows(query(spark, folder).select("question_id", "doc_id", "rank")) == [(1, 5, 2), (1, 6, 1)]
