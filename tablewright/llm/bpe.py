@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import split_words
+from .common import kept, split_words
 
 #: What either Unicode's or Python's rules call white space.
 SPACE = "\t-\r\x1c-\x20\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
@@ -371,7 +371,8 @@ class Words:
             self.ids.frombytes(ids.tobytes())
         rest = words.filter(pa.array(~ranked)).to_pylist()
         self.add(rest)
-        codes[~ranked] = [self.code[w] for w in rest]
+        # Where the vocabulary keeps spaces, self.known has them from now on; token_counts goes on with the others.
+        codes[~ranked] = [self.code.pop(w) if self.spaced else self.code[w] for w in rest]
         return codes
 
     def _spaced(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -418,7 +419,7 @@ def _offsets(lists: pa.Array) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists)), dtype=np.int64)])
 
 
-_loaded: dict[tuple, Words] = {}
+_loaded: dict[tuple, Words] = kept()
 
 
 def words_of(path: str, ranks: str | None = None) -> Words:

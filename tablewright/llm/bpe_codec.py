@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import decode_table, words_of
-from .common import map_arrow, text_of
+from .common import kept, map_arrow, text_of
 
-_tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+_tables: dict[str, tuple[np.ndarray, np.ndarray]] = kept()
 
 
 def decode(ids: np.ndarray, ends: np.ndarray, vocabulary: str) -> list[str]:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, LOWER, discard, map_arrow, mapped, scratch, split_words, steps, stored, text_of, without, wrapped
+from .common import BROADCAST_ROWS, LOWER, discard, let_go, map_arrow, mapped, scratch, split_words, steps, stored, text_of, without, wrapped
 from .components import components
 
 #: Blocks beyond D + 1, and one more for so many members of D: some more than a set has empty ones.
@@ -138,6 +138,7 @@ def sketched(docs: DataFrame, words: int, percent: int, id_column: str) -> DataF
     rows = docs.select(F.col(id_column).alias("id"), text_of().alias("text")).withColumn("th", F.xxhash64("text"))
 
     def run(batches):
+        let_go()
         bands, seen = Bands(percent), set()
         for part in (p for b in batches for p in steps(b, "text")):
             hashes, ends = shingle_sets(part.column("text"), words)
@@ -160,6 +161,7 @@ def shared_blocks(sets: DataFrame) -> DataFrame:
     """(gid, size, node): the classes of each block that several have; blocks of the same classes are one group."""
 
     def spread(batches):
+        let_go()
         for b in batches:
             for at in range(0, len(b), 2000):
                 keys, nodes = b.column("keys").slice(at, 2000), np.asarray(b.column("node").slice(at, 2000), np.int64)
@@ -177,6 +179,7 @@ def shared_blocks(sets: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(gid, sizes)[at]), pa.array(np.repeat(sizes, sizes)[at]), pa.array(nodes[at])], ["gid", "size", "node"])
 
     def groups(batches):
+        let_go()
         held: list[tuple[np.ndarray, np.ndarray]] = []  # rows whose last block may go on in the next batch
         for b in (b for b in batches if len(b)):
             keys, nodes = np.asarray(b.column("key")), np.asarray(b.column("node"))
@@ -234,6 +237,7 @@ def linked(pairs: DataFrame, key: str, compare) -> DataFrame:
     """(u, v): what compare(members, split) gives for each (key, a, b); members are the rows' columns after second."""
 
     def run(batches):
+        let_go()
         at, group = None, []
 
         def done():
@@ -314,6 +318,7 @@ def true_links(docs: DataFrame, sets: DataFrame, clusters: DataFrame, words: int
     texts = rows.join(side, F.col("did").eqNullSafe(F.col("id")) & (F.col("dth") == F.col("th"))).select("node", "cluster", "chunks", "text")
 
     def to_sets(part):
+        let_go()
         hashes, ends = shingle_sets(part.column("text"), words)
         raw = [hashes[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:], strict=True)]
         return pa.RecordBatch.from_arrays([part.column("node"), part.column("cluster"), part.column("chunks"), pa.array(raw, pa.binary())], ["node", "cluster", "chunks", "hashes"])

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, letters_only, map_arrow, mapped, split_words, steps, stored, text_of
+from .common import bounded, let_go, letters_only, map_arrow, mapped, split_words, steps, stored, text_of
 
 # Sets of identity terms; a term is swapped for the next of its set.
 IDENTITY = (
@@ -125,6 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
     """The classifier; the driver gets at most max_rows short lists of feature numbers."""
 
     def distinct_words(part: pa.RecordBatch) -> pa.RecordBatch:
+        let_go()
         owner, distinct, which = words_of(part.column("text"))
         found = []
         for form in forms(distinct):
@@ -200,6 +201,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id") -> DataFrame
     """For each row: whether it is held out, its score, and the decision at one half."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        let_go()
         s = model.scores(part.column("text"))
         return pa.RecordBatch.from_arrays([part.column("id"), part.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["id", "held_out", "score", "predicted"])
 
@@ -216,6 +218,7 @@ def keep_clean(docs: DataFrame, model: Model, text_column: str = "text") -> Data
     """The rows whose score is below one half, with all their columns."""
 
     def run(batches):
+        let_go()
         for b in batches:
             for part in steps(b, text_column):
                 clean = part.filter(pa.array(model.scores(pc.fill_null(part.column(text_column), "")) < 0.5))

@@ -78,6 +78,20 @@ def test_token_counts_of_prefixes(docs):
         assert [token_counts.count_prefix(words, text, n) for n in range(len(text) + 1)] == [count(text[:n]) for n in range(len(text) + 1)]
 
 
+def test_words_are_kept_once_and_until_other_stages_let_go_of_them():
+    import pyarrow as pa
+
+    from tablewright.llm import bpe, common
+
+    texts = ["one two, three\nfour 5% five", "two one", "four  five"]
+    store = bpe.words_of(vocabulary("byte_bpe_50k.json"))
+    first = store.encode(pa.array(texts))[0].tolist()
+    assert not set(store.code) & {" two,", " three", "\nfour", " 5%", " five"}
+    assert store.encode(pa.array(texts))[0].tolist() == first == [i for t in texts for i in store.library.encode(t, add_special_tokens=False).ids]
+    common.let_go()
+    assert not bpe._loaded and not bpe_codec._tables
+
+
 def test_token_counts_of_long_words(spark):
     """Over-budget words of 50,000 characters without spaces: the longest prefix that fits, in proportion to their length."""
     r = random.Random(5)
