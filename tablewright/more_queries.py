@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import CONCEPTS, MASK, decoded, expanded, grounded, masked_columns, memory_tokens, only_wildcards_added, sql_fingerprint, words
+from .functions.text import CONCEPTS, MASK, decoded, expanded, grounded, masked_columns, memory_tokens, only_wildcards_added, sql_fingerprint
 from .operators import catalog, evaluation, release, retrieval
-from .queries import _COSINE, _LEXICAL, _TOP, _asked, _cosine, _lexical, query, read
+from .queries import _COSINE, _LEXICAL, _TOP, _beside_words, _cosine, _lexical, query, read
 from .sources import documents, tables
 from .sources.tables import load
 
@@ -355,9 +355,5 @@ def role_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def word_and_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vector 100 q stands for question q, and vector d for document d, so the two lists are independent."""
-    benchmark, documents = read(spark, sf_dir, "benchmark", "documents")
-    near = retrieval.top_k(_cosine(spark, sf_dir, 20), "question_id", "vec_id", 20).select((F.col("question_id") / 100).cast("long").alias("question_id"), F.col("vec_id").alias("doc_id"), "rank").persist()
-    # The best five of both are among the best five by words and what is near.
-    beside = retrieval.pair_scores(_asked(benchmark), documents, near, "question_id", "doc_id", words(F.col("text")))
-    scores = _lexical(spark, sf_dir, 5).join(near, ["question_id", "doc_id"], "left_anti").unionByName(beside)
-    return retrieval.top_k(retrieval.fuse(scores, near, "question_id", "doc_id"), "question_id", "doc_id", 5).select("question_id", "doc_id", "rank")
+    near = retrieval.top_k(_cosine(spark, sf_dir, 20), "question_id", "vec_id", 20).select((F.col("question_id") / 100).cast("long").alias("question_id"), F.col("vec_id").alias("doc_id"), "rank")
+    return _beside_words(spark, sf_dir, near.persist())

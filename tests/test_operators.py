@@ -1,7 +1,9 @@
 """Catalog, windows, retrieval, evaluation, bounded SQL, sources and streams on small frames."""
 
 import json
+import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,3 +231,60 @@ def test_search_by_words_counts_repeated_rows_once(spark, tmp_path):
     spark.createDataFrame([(5, "red"), (5, "red"), (5, "red"), (6, "red car"), (7, None)], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
     for query in (queries.lexical_topk, queries.hybrid_topk):
         assert rows(query(spark, folder).select("question_id", "doc_id", "rank")) == [(1, 5, 2), (1, 6, 1)]
+
+
+def test_texts_as_vectors(spark, monkeypatch):
+    def by_hand(*texts):
+        found = [0] * retrieval.COMPONENTS
+        for text in texts:
+            for word in re.findall("[a-z0-9]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)):
+                for a, b, c in zip(f" {word[:-1]}", word, f"{word[1:]} ", strict=True):
+                    h = ((ord(a) * 128 + ord(b)) * 128 + ord(c)) * 2654435761 % 2**32
+                    found[h >> 25] += -1 if h >> 24 & 1 else 1
+        return found
+
+    texts = ["Red cars", "x", "naïve İK 7z, under_score Ⅷ\0", "long " * 3000 + "tail" * 50]
+    odd = [(10, None), (11, ""), (12, "… é"), (None, "red"), (13, "one two"), (13, "one two"), (13, "three"), (13, None)]
+    df = spark.createDataFrame([*enumerate(texts), *odd], "d long, said string")
+    want = {**{i: by_hand(t) for i, t in enumerate(texts)}, 13: by_hand("one two", "three")}
+    assert dict(map(tuple, retrieval.text_vectors(df, "d", "said").collect())) == want
+    assert retrieval.text_vectors(df.limit(0), "d", "said").count() == 0
+    monkeypatch.setattr(retrieval, "PIECE", 5)
+    assert [retrieval._hashed(t.encode()).tolist() for t in texts] == [want[i] for i in range(len(texts))]
+
+
+def test_best_by_text_are_those_of_all_pairs(spark, monkeypatch):
+    said = [(i, " ".join(f"w{i * j % 13}y" for j in range(i % 6))) for i in range(70)] + [(70, None), (71, "w3y w5y"), (71, "w4y"), (71, "w4y"), (None, "w3y")]
+    items = spark.createDataFrame(said, "d int, said string")
+    asked = spark.createDataFrame([(q, f"w{q}y W{q * q}") for q in range(12)] + [(3, "w8"), (12, "..."), (13, None), (None, "w3y")], "q long, said string")
+    vectors = {n: dict(map(tuple, retrieval.text_vectors(df, key, "said").collect())) for n, df, key in (("q", asked, "q"), ("d", items, "d"))}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    score = lambda a, b: round(dot(a, b) / (dot(a, a) ** 0.5 * dot(b, b) ** 0.5), 6)
+    order = {q: sorted((-score(a, b), d) for d, b in vectors["d"].items())[:6] for q, a in vectors["q"].items()}
+    want = sorted((q, n, d, -s) for q, best in order.items() for n, (s, d) in enumerate(best, 1))
+    for shard, tile, size in ((2048, 256, 1 << 24), (7, 3, 4000)):
+        monkeypatch.setattr(retrieval, "SHARD", shard)
+        monkeypatch.setattr(retrieval, "TILE", tile)
+        monkeypatch.setattr(retrieval, "PASS_BYTES", size)
+        near = retrieval.top_k(retrieval.text_best(asked, items, "q", "d", "said", 6), "q", "d", 6).select("q", "rank", "d", "score")
+        assert near.dtypes[0] == ("q", "bigint") and near.dtypes[2] == ("d", "int")
+        assert sorted(map(tuple, near.collect())) == want
+    assert retrieval.text_best(asked.limit(0), items, "q", "d", "said", 6).count() == retrieval.text_best(asked, items.limit(0), "q", "d", "said", 6).count() == 0
+    # what a task hands on doesn't grow with the items
+    many = spark.range(9000, numPartitions=4).select(F.col("id").alias("d"), F.concat(F.lit("w3y "), F.col("id")).alias("said"))
+    assert retrieval.text_best(asked, many, "q", "d", "said", 2).count() <= 4 * 12 * 2
+
+
+def test_search_by_both_finds_what_only_vectors_find(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.createDataFrame([(1, "gardening books"), (1, "gardening books"), (2, "Über 7"), (3, "—"), (4, None), (None, "red")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    odd = [(90, "gardener's bookshelf"), (91, "books"), (91, "books"), (91, "and gardens"), (92, None), (93, "…"), (None, "books of gardening"), (1, "gardening")]
+    said = [(i, " ".join(f"w{i * j % 13}" for j in range(1, 2 + i % 9))) for i in range(100, 160)]
+    spark.createDataFrame([*odd, *said], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    found = rows(queries.hybrid_topk(spark, folder).select("question_id", "doc_id", "rank"))
+    assert (1, 90) in {r[:2] for r in found}  # no word of the question stands in it
+    con = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet/*.parquet')")
+    want = con.sql(f"SELECT question_id, doc_id, rank FROM ({queries.ORACLE_SQL['hybrid_topk']})").fetchall()
+    assert sorted(map(repr, found)) == sorted(map(repr, want))
