@@ -288,3 +288,19 @@ def test_search_by_both_finds_what_only_vectors_find(spark, tmp_path):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet/*.parquet')")
     want = con.sql(f"SELECT question_id, doc_id, rank FROM ({queries.ORACLE_SQL['hybrid_topk']})").fetchall()
     assert sorted(map(repr, found)) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("name", ["lexical_topk", "hybrid_topk", "role_view"])
+def test_null_keys_come_last_among_ties(spark, tmp_path, name):
+    folder = str(tmp_path)
+    spark.createDataFrame([(1, "red car")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    # the first twenty are close by their letters only; the others have both words, and are too long to be close
+    said = [(i, "reds cars") for i in range(20)] + [(i, "red car " + "among many other things that nobody wanted " * 5) for i in (None, *range(20, 50))]
+    spark.createDataFrame(said, "doc_id long, text string").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    found = rows(queries.QUERIES[name](spark, folder).select("question_id", "doc_id", "rank"))
+    con = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet/*.parquet')")
+    want = con.sql(f"SELECT question_id, doc_id, rank FROM ({queries.ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(repr, found)) == sorted(map(repr, want))
+    assert [d for _, d, _ in sorted(found, key=lambda r: r[2])][:5] == [20, 21, 22, 23, 24]
